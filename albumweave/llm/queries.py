@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from albumweave.llm.mixing import op2_mixing
 from albumweave.llm.packing import op7_packing
+from albumweave.llm.perplexity import op8_quality_rules
 from albumweave.llm.scoring import op9_lm_scoring
 from albumweave.llm.warc import op10_warc
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op7_packing": op7_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
 }

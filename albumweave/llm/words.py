@@ -110,8 +110,8 @@ def shingles(words: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndar
         whole = []
         for d in short:
             w = words[off[d] : off[d + 1]]
-            whole.append((w * powers(_STEP, len(w))).sum(dtype=np.uint64) + np.uint64(len(w)) * _BASE)
-        h = np.concatenate([h, mix(np.array(whole, np.uint64) ^ _STEP)])
+            whole.append((w * powers(_STEP, len(w))).sum(dtype=np.uint64))
+        h = np.concatenate([h, mix((np.array(whole, np.uint64) + lens[short].astype(np.uint64) * _BASE) ^ _STEP)])
         r = np.concatenate([r, short])
         order = np.argsort(r, kind="stable")
         h, r = h[order], r[order]
