@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from albumweave.llm.jaccard import op4_jaccard_join
 from albumweave.llm.mixing import op2_mixing
 from albumweave.llm.packing import op7_packing
 from albumweave.llm.perplexity import op8_quality_rules
@@ -10,6 +11,7 @@ from albumweave.llm.warc import op10_warc
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
