@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from albumweave.llm.classifier import op1_quality_classifier
+from albumweave.llm.html import op3_html_extraction
 from albumweave.llm.jaccard import op4_jaccard_join
 from albumweave.llm.mixing import op2_mixing
 from albumweave.llm.packing import op7_packing
@@ -10,7 +12,9 @@ from albumweave.llm.scoring import op9_lm_scoring
 from albumweave.llm.warc import op10_warc
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing": op2_mixing,
+    "op3_html_extraction": op3_html_extraction,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
