@@ -5,6 +5,7 @@ from __future__ import annotations
 from albumweave.llm.classifier import op1_quality_classifier
 from albumweave.llm.html import op3_html_extraction
 from albumweave.llm.jaccard import op4_jaccard_join
+from albumweave.llm.knn import op6_topk_search
 from albumweave.llm.mixing import op2_mixing
 from albumweave.llm.packing import op7_packing
 from albumweave.llm.perplexity import op8_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_html_extraction": op3_html_extraction,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_topk_search": op6_topk_search,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
@@ -23,6 +25,13 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_topk_search": r"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v::DOUBLE[], x.v::DOUBLE[]) AS BIGINT) AS score
+              FROM v q, v x WHERE q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
     "op10_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         k AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS d,
