@@ -9,6 +9,7 @@ from albumweave.llm.knn import op6_topk_search
 from albumweave.llm.mixing import op2_mixing
 from albumweave.llm.packing import op7_packing
 from albumweave.llm.perplexity import op8_quality_rules
+from albumweave.llm.pii import op5_pii
 from albumweave.llm.scoring import op9_lm_scoring
 from albumweave.llm.warc import op10_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_html_extraction": op3_html_extraction,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_pii": op5_pii,
     "op6_topk_search": op6_topk_search,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
