@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Code points that separate words: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ship(*modules) -> None:
-    """Send these modules' code to the workers by value, so that they need no installed copy."""
-    for module in modules:
-        with contextlib.suppress(ValueError):
-            cloudpickle.register_pickle_by_value(module)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -45,8 +45,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, salts: int = SALTS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    rows = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, and _row where there is one."""
+    own = [c for c in ("_row",) if c in docs.columns]
+    rows = materialise(docs.select("doc_id", *own, "source", n_words(F.col("text")).alias("size")), "sizes")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     salted = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     by_size = salted.groupBy("source", "size").agg(F.sum("n").alias("m"))
@@ -59,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     in_size = Window.partitionBy("k0", "k1", "size").orderBy("salt")
     salted = key(salted).withColumn("in_size", F.coalesce(F.sum("n").over(earlier(in_size)), F.lit(0))).drop("n")
     start = salted.join(by_size, ["k0", "k1", "size"]).withColumn("start", F.col("before") + F.col("in_size")).drop("before", "in_size")
-    in_salt = Window.partitionBy("k0", "k1", "size", "salt").orderBy("doc_id")
+    in_salt = Window.partitionBy("k0", "k1", "size", "salt").orderBy("doc_id", *own)
     ranked = rows.withColumn("k0", F.col("source").isNull()).withColumn("k1", F.coalesce("source", F.lit(""))).withColumn("rank", F.row_number().over(in_salt))
     out = ranked.join(start, ["k0", "k1", "size", "salt"]).withColumn("rank", F.col("start") + F.col("rank"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -67,7 +68,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     crossed = F.floor(F.col("rank") * rate + offset) - F.floor((F.col("rank") - 1) * rate + offset)
     copies = F.least(crossed, F.ceil(rate)).cast("long")
     out = out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", *own, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """`docs` with each row as often as the mix takes it."""
+    names = [c for c in docs.columns if c != "_row"]
+    rows = materialise(docs.select(*names).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    copies = mix(rows, **how).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
