@@ -15,6 +15,17 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
+def narrow(h: np.ndarray, width: int) -> bytes:
+    """Numbers below 256 ** width in `width` bytes each."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def widen(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").reshape(-1)
+
+
 def write_shard(folder: str, name: str, shard: int, keys: np.ndarray, **values: np.ndarray) -> None:
     """Write the shard's files; keys must be sorted and distinct."""
     put(folder, f"{name}-{shard}.keys", keys.astype("<u8").tobytes())

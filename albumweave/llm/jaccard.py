@@ -1,6 +1,7 @@
 """An exact self-join of texts on the Jaccard similarity of their word shingles, by count vectors in R-trees.
 
-Shingles are hashed into groups; a text is the point of its group counts. For two texts the sum of the smaller
+Shingles are hashed into groups, 64 to 1,024 by the size of the set; a text is the point of its group counts. Points of
+more groups are folded for a comparison with one of fewer. For two texts the sum of the smaller
 coordinates bounds their overlap from above, and so do the boxes of an R-tree for all texts below them, so that pairs
 and whole boxes that can't reach the threshold are left out. What is left is verified on the sets.
 
@@ -29,14 +30,16 @@ from pyspark.sql import functions as F
 
 from albumweave.llm.common import materialise, new_folder, table
 from albumweave.llm.components import components
-from albumweave.llm.hash_arrays import HashArrays, shard_of, write_shard
+from albumweave.llm.hash_arrays import HashArrays, narrow, shard_of, widen, write_shard
 from albumweave.llm.words import distinct, mix, shingles, slices
 
 #: Link when LINK[0] * overlap >= LINK[1] * union.
 LINK = (100, 80)
 SHINGLE = 5
-#: Coordinates of a count vector; points of a leaf.
-GROUPS, LEAF = 64, 32
+#: Coordinates of a count vector for sets below 1,024 shingles, doublings for larger ones; points of a leaf.
+GROUPS, LEVELS, LEAF = 64, 4, 32
+#: Bytes kept of a shingle's 64-bit hash to find texts with a common one, and to compare two sets.
+WIDTH = 6
 #: Cells of the table of shingle frequencies that orders shingles from rare to frequent: fixed, 8 MB at most.
 CELL_BITS, CHUNK_BITS = 20, 14
 #: A cell is frequent above so many times the mean.
@@ -108,7 +111,7 @@ def points(docs: DataFrame, size: int, link: tuple[int, int]) -> DataFrame:
                 vectors[k] = vector(h).tobytes()
                 lv = level[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 own = h[np.argsort(lv, kind="stable")] if lv.any() else h
-                leading[k] = own[: len(h) + 1 - -(-len(h) * ratio[1] // ratio[0])].astype("<u8").tobytes()
+                leading[k] = narrow(own[: len(h) + 1 - -(-len(h) * ratio[1] // ratio[0])] >> np.uint64(64 - 8 * WIDTH), WIDTH)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, vectors, leading))], schema=schema)
 
     made = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set binary, vector binary, leading binary")
@@ -116,28 +119,84 @@ def points(docs: DataFrame, size: int, link: tuple[int, int]) -> DataFrame:
 
 
 def vector(h: np.ndarray) -> np.ndarray:
-    """Group counts of a set."""
-    return np.bincount(((h >> np.uint64(20)) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
-
-
-def trees(reps: DataFrame, shards: int) -> DataFrame:
-    """(tree, rid): the sets of two or more texts with a leading shingle in common, each set once. A tree's name is a
-    sum of hashes of its texts; should two names be equal, their texts are joined in one tree, which loses no pair."""
+    """Group counts of a set, in bytes if they fit."""
+    groups = GROUPS << min(LEVELS, max(0, len(h).bit_length() - 10))
+    n = np.bincount(((h >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return n.astype(np.uint8 if n.max() < 256 else "<u4")
+
+
+class Points:
+    """Count vectors at each number of groups; a vector is there at its own number and all smaller ones."""
+
+    def __init__(self, n: np.ndarray, column: pa.ChunkedArray) -> None:
+        self.n = n
+        self.level = np.array([min(LEVELS, max(0, int(x).bit_length() - 10)) for x in n], np.int64)
+        self.at: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        data = column.to_pylist()
+        for lv in range(LEVELS, -1, -1):
+            rows = np.flatnonzero(self.level >= lv)
+            groups = GROUPS << lv
+            at = np.full(len(n), -1, np.int64)
+            at[rows] = np.arange(len(rows))
+            counts = np.empty((len(rows), groups), np.int32)
+            own = np.flatnonzero(self.level == lv)
+            for r in own.tolist():
+                counts[at[r]] = np.frombuffer(data[r], np.uint8 if len(data[r]) == groups else "<u4")
+            more = np.flatnonzero(self.level > lv)
+            if len(more):
+                finer = self.counts[-1][self.at[-1][more]]
+                counts[at[more]] = finer[:, :groups] + finer[:, groups:]
+            self.at.append(at)
+            self.counts.append(counts)
+        self.at.reverse()
+        self.counts.reverse()
+
+    def part(self, rows: np.ndarray) -> Points:
+        out = object.__new__(Points)
+        out.n, out.level, out.counts = self.n[rows], self.level[rows], self.counts
+        out.at = [x[rows] for x in self.at]
+        return out
+
+    def close(self, a: np.ndarray, b: np.ndarray, link: tuple[int, int]) -> np.ndarray:
+        """Whether the sums of the smaller coordinates of points a and b reach the threshold."""
+        out = np.zeros(len(a), bool)
+        level = np.minimum(self.level[a], self.level[b])
+        for lv in np.unique(level).tolist():
+            rows = np.flatnonzero(level == lv)
+            at, counts = self.at[lv], self.counts[lv]
+            for i in range(0, len(rows), step := (1 << 22) // (GROUPS << lv)):
+                r = rows[i : i + step]
+                x, y = a[r], b[r]
+                out[r] = (link[0] + link[1]) * np.minimum(counts[at[x]], counts[at[y]]).sum(1) >= link[1] * (self.n[x] + self.n[y])
+        return out
+
+
+def trees(rows: DataFrame, copies: HashArrays, shards: int) -> DataFrame:
+    """(tree, rid): the sets of two or more texts with a leading shingle in common, each set once. Rows in `copies` are
+    left out. A tree's name is a sum of hashes of its texts; should two names be equal, their texts are joined in one
+    tree, which loses no pair."""
     blocks = pa.schema([("shard", pa.int32()), ("shingle", pa.binary()), ("rid", pa.binary())])
+    high = np.uint64(64 - 8 * WIDTH)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(1)]
+            key, inv = np.unique(mix(batch.column(0).to_numpy().view(np.uint64)), return_inverse=True)
+            first = np.flatnonzero(~copies.lookup(key)[0][inv])
+            parts = [widen(batch.column(1)[k].as_py(), WIDTH) for k in first.tolist()]
+            if not parts:
+                continue
             h = np.concatenate(parts)
-            rid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])
-            shard = shard_of(h, shards)
+            rid = np.repeat(batch.column(0).to_numpy()[first], [len(x) for x in parts])
+            shard = shard_of(h << high, shards)
             order = np.argsort(shard, kind="stable")  # texts stay together, so that their ids compress
             cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
             at = np.flatnonzero(np.diff(cuts))
-            yield pa.record_batch([pa.array(at.astype(np.int32)), *(pa.array([x[order[cuts[k] : cuts[k + 1]]].tobytes() for k in at], pa.binary()) for x in (h, rid))], schema=blocks)
+            data = [(narrow(h[o := order[cuts[k] : cuts[k + 1]]], WIDTH), rid[o].tobytes()) for k in at]
+            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array([x for x, _ in data], pa.binary()), pa.array([y for _, y in data], pa.binary())], schema=blocks)
 
     def meet(rows: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in rows.column("shingle")])
+        h = np.concatenate([widen(x.as_py(), WIDTH) for x in rows.column("shingle")])
         rid = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in rows.column("rid")])
         order = np.argsort(h, kind="stable")
         h, rid = h[order], rid[order]
@@ -150,21 +209,14 @@ def trees(reps: DataFrame, shards: int) -> DataFrame:
         at = np.repeat(first[many] - np.concatenate([[0], np.cumsum(size[many])[:-1]]), size[many]) + np.arange(int(size[many].sum()))
         return pa.table({"tree": pa.array(np.repeat(name[many], size[many]).view(np.int64)), "rid": pa.array(rid[at])})
 
-    dealt = reps.select("rid", "leading").mapInArrow(deal, "shard int, shingle binary, rid binary")
+    dealt = rows.where("n > 0").select("rid", "leading").mapInArrow(deal, "shard int, shingle binary, rid binary")
     return dealt.groupBy("shard").applyInArrow(meet, "tree long, rid long").distinct()
 
 
-def close(v: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, link: tuple[int, int]) -> np.ndarray:
-    """Whether the sums of the smaller coordinates of points a and b reach the threshold."""
-    out = np.zeros(len(a), bool)
-    for i in range(0, len(a), 1 << 16):
-        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-        out[i : i + (1 << 16)] = (link[0] + link[1]) * np.minimum(v[x], v[y]).sum(1) >= link[1] * (n[x] + n[y])
-    return out
-
-
-def tree_pairs(v: np.ndarray, n: np.ndarray, comp: np.ndarray, link: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points of different components that an R-tree of group counts can't rule out."""
+def tree_pairs(points: Points, comp: np.ndarray, link: tuple[int, int], asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points of different components that an R-tree of group counts can't rule out; if `asked` is given, of
+    those only that it marks one of."""
+    n, v = points.n, points.counts[0][points.at[0]]
     order = np.lexsort((v[:, 1], v[:, 0], n))
     m = len(order)
     cuts = np.arange(0, m, LEAF)
@@ -172,9 +224,10 @@ def tree_pairs(v: np.ndarray, n: np.ndarray, comp: np.ndarray, link: tuple[int,
     low_n, high_n = n[order[cuts]], n[order[np.append(cuts[1:], m) - 1]]  # leaves are filled in order of size
     leaves = [order[i : i + LEAF] for i in cuts]
     one = [len(np.unique(comp[x])) == 1 for x in leaves]
+    wanted = np.ones(len(leaves), bool) if asked is None else np.array([asked[x].any() for x in leaves])
     for i in range(len(leaves)):
         j = np.arange(i, len(leaves))
-        j = j[link[1] * low_n[j] <= link[0] * high_n[i]]
+        j = j[(link[1] * low_n[j] <= link[0] * high_n[i]) & (wanted[i] | wanted[j])]
         j = j[(link[0] + link[1]) * np.minimum(high[i], high[j]).sum(1) >= link[1] * (low_n[i] + low_n[j])]
         for k in j.tolist():
             if one[i] and one[k] and comp[leaves[i][0]] == comp[leaves[k][0]]:
@@ -184,19 +237,52 @@ def tree_pairs(v: np.ndarray, n: np.ndarray, comp: np.ndarray, link: tuple[int,
             else:
                 p, q = (x.ravel() for x in np.indices((len(leaves[i]), len(leaves[k]))))
             a, b = leaves[i][p], leaves[k][q]
-            a, b = a[(ok := comp[a] != comp[b])], b[ok]
-            ok = close(v, n, a, b, link)
+            ok = comp[a] != comp[b]
+            if asked is not None:
+                ok &= asked[a] | asked[b]
+            a, b = a[ok], b[ok]
+            ok = points.close(a, b, link)
             if ok.any():
                 yield a[ok], b[ok]
 
 
+def not_ruled_out(members: DataFrame, shards: int, link: tuple[int, int]) -> DataFrame:
+    """The rows of a table (tree, rid, n, vector) whose point has one in its tree that its counts don't rule out."""
+    schema = "tree long, rid long, n long, vector binary"
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("tree", "ascending"), ("n", "ascending"), ("rid", "ascending")])
+        tree, n = rows.column("tree").to_numpy(), rows.column("n").to_numpy()
+        points = Points(n, rows.column("vector"))
+        first = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
+        size = np.diff(np.append(first, len(tree)))
+        keep = np.zeros(len(tree), bool)
+        for m in range(2, LEAF // 2 + 1):  # small trees are one leaf: all of one size at once
+            at = first[size == m]
+            for i in range(0, len(at), 4096):
+                p, q = np.triu_indices(m, 1)
+                a, b = ((at[i : i + 4096, None] + x).ravel() for x in (p, q))
+                a, b = a[(ok := link[1] * n[b] <= link[0] * n[a])], b[ok]
+                ok = points.close(a, b, link)
+                keep[a[ok]] = keep[b[ok]] = True
+        for i, m in zip(first[size > LEAF // 2].tolist(), size[size > LEAF // 2].tolist(), strict=True):
+            j = np.arange(i, i + m - 1)
+            ok = points.close(j, j + 1, link)
+            keep[j[ok]] = keep[j[ok] + 1] = True
+            for a, b in tree_pairs(points.part(np.arange(i, i + m)), np.arange(m), link, ~keep[i : i + m]):
+                keep[a + i] = keep[b + i] = True
+        return rows.filter(pa.array(keep)).select(["tree", "rid", "n", "vector"])
+
+    return members.withColumn("shard", F.pmod(F.col("tree"), F.lit(shards))).groupBy("shard").applyInArrow(run, schema)
+
+
 def candidates(members: DataFrame, turn: int, shards: int, link: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of ids to verify in a round, of a table (tree, rid, comp, n, vector)."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("tree", "ascending"), ("rid", "ascending")])
         tree, rid, comp, n = (rows.column(c).to_numpy() for c in ("tree", "rid", "comp", "n"))
-        v = np.frombuffer(b"".join(rows.column("vector").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+        points = Points(n, rows.column("vector"))
         first = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
         out_a, out_b = [], []
         if turn == 1:  # all with the first of their tree
@@ -204,7 +290,7 @@ def candidates(members: DataFrame, turn: int, shards: int, link: tuple[int, int]
             b = np.arange(len(tree))
             ok = (comp[a] != comp[b]) & (link[1] * np.maximum(n[a], n[b]) <= link[0] * np.minimum(n[a], n[b]))
             a, b = a[ok], b[ok]
-            ok = close(v, n, a, b, link)
+            ok = points.close(a, b, link)
             out_a, out_b = [a[ok]], [b[ok]]
         else:
             for i, j in zip(first.tolist(), np.append(first[1:], len(tree)).tolist(), strict=True):
@@ -212,7 +298,7 @@ def candidates(members: DataFrame, turn: int, shards: int, link: tuple[int, int]
                 if len(own) == 1:
                     continue
                 if turn == 3:
-                    for a, b in tree_pairs(v[i:j], n[i:j], comp[i:j], link):
+                    for a, b in tree_pairs(points.part(np.arange(i, j)), comp[i:j], link):
                         out_a.append(a + i)
                         out_b.append(b + i)
                     continue
@@ -224,7 +310,7 @@ def candidates(members: DataFrame, turn: int, shards: int, link: tuple[int, int]
                 a, b = (x.ravel() for x in np.meshgrid(heads, rest, indexing="ij"))
                 ok = inv[a] != inv[b]
                 a, b = a[ok] + i, b[ok] + i
-                ok = close(v, n, a, b, link)
+                ok = points.close(a, b, link)
                 out_a.append(a[ok])
                 out_b.append(b[ok])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
@@ -234,31 +320,37 @@ def candidates(members: DataFrame, turn: int, shards: int, link: tuple[int, int]
     return members.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
-def sets(docs: DataFrame, reps: DataFrame, size: int, shards: int) -> DataFrame:
-    """(rid, shingles) of the texts in `reps` (rid, doc_id, set), found again in `docs` by their doc_id and digest."""
-    folder = new_folder(docs.sparkSession, "wanted")
+def _keys(ids: pa.Array) -> np.ndarray:
+    return mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
-    def keys(ids: pa.Array) -> np.ndarray:
-        return mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+def id_set(ids: DataFrame, shards: int) -> HashArrays:
+    """The numbers of a one-column table as sorted arrays of their hashes."""
+    folder = new_folder(ids.sparkSession, "ids")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = keys(batch.column(0))
+            k = _keys(batch.column(0))
             yield pa.record_batch([pa.array(shard_of(k, shards).astype(np.int32)), pa.array(k.view(np.int64))], names=["shard", "key"])
 
     def write(rows: pa.Table) -> pa.Table:
-        write_shard(folder, "wanted", rows.column("shard")[0].as_py(), np.unique(rows.column("key").to_numpy().view(np.uint64)))
+        write_shard(folder, "ids", rows.column("shard")[0].as_py(), np.unique(rows.column("key").to_numpy().view(np.uint64)))
         return pa.table({"shard": rows.column("shard")[:1]})
 
-    filled = [r.shard for r in reps.select("doc_id").mapInArrow(deal, "shard int, key long").groupBy("shard").applyInArrow(write, "shard int").collect()]
-    wanted = HashArrays(folder, "wanted", shards, filled)
+    filled = [r.shard for r in ids.mapInArrow(deal, "shard int, key long").groupBy("shard").applyInArrow(write, "shard int").collect()]  # a number for each shard
+    return HashArrays(folder, "ids", shards, filled)
+
+
+def sets(docs: DataFrame, reps: DataFrame, size: int, shards: int) -> DataFrame:
+    """(rid, shingles) of the texts in `reps` (rid, doc_id, set), found again in `docs` by their doc_id and digest."""
+    wanted = id_set(reps.select("doc_id"), shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, inv = np.unique(keys(batch.column(0)), return_inverse=True)
+            k, inv = np.unique(_keys(batch.column(0)), return_inverse=True)
             text = batch.column(1).filter(pa.array(wanted.lookup(k)[0][inv]))
             found = [h for _, h in _texts(text, size)]
-            yield pa.record_batch([pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in found], pa.binary()), pa.array([h.astype("<u8").tobytes() for h in found], pa.binary())], names=["set", "shingles"])
+            yield pa.record_batch([pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in found], pa.binary()), pa.array([narrow(h >> np.uint64(64 - 8 * WIDTH), WIDTH) for h in found], pa.binary())], names=["set", "shingles"])
 
     again = docs.select("doc_id", "text").mapInArrow(run, "set binary, shingles binary")
     return materialise(again.join(reps.select("rid", "set"), "set").select("rid", "shingles").dropDuplicates(["rid"]), "sets")
@@ -271,7 +363,7 @@ def verified(pairs: DataFrame, shingle_sets: DataFrame, link: tuple[int, int]) -
         for batch in batches:
             out = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                x, y = widen(x.as_py(), WIDTH), widen(y.as_py(), WIDTH)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(link[0] * both >= link[1] * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
@@ -287,24 +379,25 @@ def classes(docs: DataFrame, size: int = SHINGLE, link: tuple[int, int] = LINK)
     rows = points(docs, size, link)
     # Texts with one set are one point, named by its first row.
     same = materialise(rows.where("n > 0").groupBy("set").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc")), "classes")
-    reps = rows.drop("set").join(same.select("rid", "set"), "rid")
-    member = materialise(trees(reps, shards), "trees")
-    active = member.select("rid").distinct()
-    known = materialise(reps.join(active, "rid").select("rid", "doc_id", "n", "set", "vector"), "active")
+    heads = rows.select("rid", "set", "doc_id", "n", "vector").join(same.select("rid"), "rid", "left_semi")
+    copies = id_set(rows.where("n > 0").select("rid").join(same.select("rid"), "rid", "left_anti"), shards)
+    member = trees(rows, copies, shards).join(heads.select("rid", "n", "vector"), "rid")
+    member = materialise(not_ruled_out(member, shards, link), "trees")
+    known = member.select("rid").distinct().join(heads.select("rid", "doc_id", "set"), "rid")
     shingle_sets = sets(docs, known, size, shards)
     root, done = None, None
     for turn in (1, 2, 3):
-        at = member.join(known.select("rid", "n", "vector"), "rid")
         if root is None:
-            at = at.withColumn("comp", F.col("rid"))
+            at = member.withColumn("comp", F.col("rid"))
         else:
-            at = at.join(root.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
+            at = member.join(root.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
             # A tree whose points are all in one component has no more to give.
             open_trees = at.groupBy("tree").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tree")
             at = at.join(open_trees, "tree", "left_semi")
         pairs = candidates(at, turn, shards, link)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, f"pairs{turn}")
         judged = materialise(verified(pairs, shingle_sets, link), f"verified{turn}")
         new = judged.where("linked").select("a", "b")
         done = judged.select("a", "b") if done is None else done.union(judged.select("a", "b"))
@@ -320,5 +413,17 @@ def classes(docs: DataFrame, size: int = SHINGLE, link: tuple[int, int] = LINK)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def deduplicated(docs: DataFrame, size: int = SHINGLE, link: tuple[int, int] = LINK) -> DataFrame:
+    """`docs` with one row of each component: the one of the smallest doc_id, nulls last. Rows without words stay."""
+    names = [c for c in docs.columns if c != "_row"]
+    rows = materialise(docs.select(*names).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = classes(rows.select(F.col("_row").alias("doc_id"), "text"), size, link).where("n_shingles > 0")
+    found = materialise(found.join(rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("own_id")), "doc_id"), "components")
+    order = F.struct(F.col("own_id").isNull().alias("none"), F.col("own_id").alias("id"), F.col("doc_id").alias("row"))
+    stays = found.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("doc_id"))
+    goes = found.join(stays, "doc_id", "left_anti").select(F.col("doc_id").alias("_row"))
+    return rows.join(goes, "_row", "left_anti").select(*names)
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from albumweave.llm.common import new_folder, table
-from albumweave.llm.hash_arrays import HashArrays, discounts, shard_of, write_shard
+from albumweave.llm.hash_arrays import HashArrays, discounts, narrow, shard_of, widen, write_shard
 from albumweave.llm.words import Slice, mix, slices
 
 START, END = np.uint64(0x0B05_0B05_0B05_0B05), np.uint64(0x0E0D_0E0D_0E0D_0E0D)
@@ -51,25 +51,18 @@ def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tok, prev, off
 
 
+#: Bytes of a word's hash within a pair.
+CUT = 5
+
+
 def cut(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(24)
+    return h >> np.uint64(64 - 8 * CUT)
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _PAIR + b)
 
 
-def narrow(h: np.ndarray) -> bytes:
-    """40-bit numbers in five bytes each."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def widen(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
-
-
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct keys, their sums, a position of each)."""
     order = np.argsort(keys, kind="stable")
@@ -95,7 +88,7 @@ def _counted(shards: int):
         a, b = a[first], b[first]
         for k, at in by_shard(key, shards):
             own = np.argsort(a[at], kind="stable")
-            rows.append({"kind": "pair", "shard": k, "a": narrow(a[at][own]), "b": narrow(b[at][own]), "n": n[at][own].astype("<u4").tobytes()})
+            rows.append({"kind": "pair", "shard": k, "a": narrow(a[at][own], CUT), "b": narrow(b[at][own], CUT), "n": n[at][own].astype("<u4").tobytes()})
         return pa.RecordBatch.from_pylist(rows, schema=BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +114,8 @@ def _merged_pairs(folder: str, shards: int):
         if kind == "word":
             return rows.select(["kind", "shard", "a", "b", "n"])
         shard = rows.column("shard")[0].as_py()
-        a = np.concatenate([widen(x.as_py()) for x in rows.column("a")])
-        b = np.concatenate([widen(x.as_py()) for x in rows.column("b")])
+        a = np.concatenate([widen(x.as_py(), CUT) for x in rows.column("a")])
+        b = np.concatenate([widen(x.as_py(), CUT) for x in rows.column("b")])
         n = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows.column("n")]).astype(np.int64)
         key, n, first = summed(pair_key(a, b), n)
         a, b = a[first], b[first]
@@ -137,8 +130,8 @@ def _merged_pairs(folder: str, shards: int):
         slot = np.concatenate([kinds, np.full(len(b), 3)])
         u, inv = np.unique(w, return_inverse=True)
         table4 = np.bincount(inv * 4 + slot, minlength=4 * len(u)).reshape(-1, 4)
-        for k, at in by_shard(u << np.uint64(24), shards):
-            out.append({"kind": "word", "shard": k, "a": None, "b": narrow(u[at]), "n": np.ascontiguousarray(table4[at]).astype("<u4").tobytes()})
+        for k, at in by_shard(u << np.uint64(64 - 8 * CUT), shards):
+            out.append({"kind": "word", "shard": k, "a": None, "b": narrow(u[at], CUT), "n": np.ascontiguousarray(table4[at]).astype("<u4").tobytes()})
         return pa.Table.from_pylist(out, schema=BLOCKS)
 
     return run
@@ -150,7 +143,7 @@ def _merged_words(folder: str):
         if kind != "word":
             return rows.select(["kind", "shard", "a", "b", "n"])
         counted = [(np.frombuffer(a.as_py(), "<u8"), np.frombuffer(n.as_py(), "<u4")) for a, n in zip(rows.column("a"), rows.column("n"), strict=True) if a.is_valid]
-        found = [(widen(b.as_py()), np.frombuffer(n.as_py(), "<u4").reshape(-1, 4)) for b, n in zip(rows.column("b"), rows.column("n"), strict=True) if b.is_valid]
+        found = [(widen(b.as_py(), CUT), np.frombuffer(n.as_py(), "<u4").reshape(-1, 4)) for b, n in zip(rows.column("b"), rows.column("n"), strict=True) if b.is_valid]
         key, count, _ = summed(np.concatenate([k for k, _ in counted]), np.concatenate([n for _, n in counted]).astype(np.int64))
         figures = np.zeros((len(key), 4), np.int64)
         if found:
