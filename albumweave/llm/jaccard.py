@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumweave.llm.common import materialise, new_folder, table
@@ -40,6 +40,10 @@ SHINGLE = 5
 GROUPS, LEVELS, LEAF = 64, 4, 32
 #: Bytes kept of a shingle's 64-bit hash to find texts with a common one, and to compare two sets.
 WIDTH = 6
+#: Members of a tree that one task compares; larger trees are cut into blocks that meet in pairs.
+BLOCK = 2048
+#: Points that others are compared with in the second round: of the largest component of a tree, and of how many more.
+HEADS, NEXT = 4, 7
 #: Cells of the table of shingle frequencies that orders shingles from rare to frequent: fixed, 8 MB at most.
 CELL_BITS, CHUNK_BITS = 20, 14
 #: A cell is frequent above so many times the mean.
@@ -213,9 +217,9 @@ def trees(rows: DataFrame, copies: HashArrays, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(meet, "tree long, rid long").distinct()
 
 
-def tree_pairs(points: Points, comp: np.ndarray, link: tuple[int, int], asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points of different components that an R-tree of group counts can't rule out; if `asked` is given, of
-    those only that it marks one of."""
+def tree_pairs(points: Points, comp: np.ndarray, link: tuple[int, int], asked: np.ndarray | None = None, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points of different components that an R-tree of group counts can't rule out: only those with a point
+    that `asked` marks, and of two sides, where these are given."""
     n, v = points.n, points.counts[0][points.at[0]]
     order = np.lexsort((v[:, 1], v[:, 0], n))
     m = len(order)
@@ -240,6 +244,8 @@ def tree_pairs(points: Points, comp: np.ndarray, link: tuple[int, int], asked: n
             ok = comp[a] != comp[b]
             if asked is not None:
                 ok &= asked[a] | asked[b]
+            if side is not None:
+                ok &= side[a] != side[b]
             a, b = a[ok], b[ok]
             ok = points.close(a, b, link)
             if ok.any():
@@ -247,7 +253,8 @@ def tree_pairs(points: Points, comp: np.ndarray, link: tuple[int, int], asked: n
 
 
 def not_ruled_out(members: DataFrame, shards: int, link: tuple[int, int]) -> DataFrame:
-    """The rows of a table (tree, rid, n, vector) whose point has one in its tree that its counts don't rule out."""
+    """The rows of a table (tree, rid, n, vector) whose point has one in its tree that its counts don't rule out. Trees
+    of over a block, which may be split among tasks later, keep all rows."""
     schema = "tree long, rid long, n long, vector binary"
 
     def run(rows: pa.Table) -> pa.Table:
@@ -273,51 +280,74 @@ def not_ruled_out(members: DataFrame, shards: int, link: tuple[int, int]) -> Dat
                 keep[a + i] = keep[b + i] = True
         return rows.filter(pa.array(keep)).select(["tree", "rid", "n", "vector"])
 
-    return members.withColumn("shard", F.pmod(F.col("tree"), F.lit(shards))).groupBy("shard").applyInArrow(run, schema)
+    large = members.groupBy("tree").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("tree")
+    small = members.join(large, "tree", "left_anti").withColumn("shard", F.pmod(F.col("tree"), F.lit(shards)))
+    return small.groupBy("shard").applyInArrow(run, schema).unionByName(members.join(large, "tree", "left_semi").select("tree", "rid", "n", "vector"))
 
 
-def candidates(members: DataFrame, turn: int, shards: int, link: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of ids to verify in a round, of a table (tree, rid, comp, n, vector)."""
+def with_heads(members: DataFrame, heads: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """Pairs of a tree's points (tree, rid, comp, n, vector) and its heads, of other components, that the counts leave.
+    Nothing is gathered by tree: a large one can be split among tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, n_a, n_b, v_a, v_b = batch.columns
+            m = batch.num_rows
+            points = Points(np.concatenate([n_a.to_numpy(), n_b.to_numpy()]), pa.chunked_array([v_a, v_b]))
+            ok = points.close(np.arange(m), np.arange(m, 2 * m), link)
+            a, b = a.to_numpy()[ok], b.to_numpy()[ok]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    head = heads.select("tree", *(F.col(c).alias(f"h_{c}") for c in ("rid", "comp", "n", "vector")))
+    size = F.lit(link[1]) * F.greatest("n", "h_n") <= F.lit(link[0]) * F.least("n", "h_n")
+    both = members.join(head, "tree").where((F.col("comp") != F.col("h_comp")) & size)
+    return both.select(F.col("h_rid").alias("a"), F.col("rid").alias("b"), F.col("h_n").alias("na"), F.col("n").alias("nb"), F.col("h_vector").alias("va"), F.col("vector").alias("vb")).mapInArrow(run, "a long, b long").distinct()
+
+
+def largest_heads(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(heads, largest): of each tree a few points of its largest component and one of each of the next ones, and
+    (tree, comp) of the largest. Ranks keep a few rows of each tree before the shuffle."""
+    ids = members.select("tree", "rid", "comp")
+    place = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("size"), "comp"))
+    top = ids.groupBy("tree", "comp").agg(F.count("*").alias("size")).withColumn("place", place).where(F.col("place") <= NEXT + 1)
+    turn = F.row_number().over(Window.partitionBy("tree", "comp").orderBy(F.xxhash64("rid"), "rid"))
+    chosen = ids.withColumn("turn", turn).where(F.col("turn") <= HEADS).join(top, ["tree", "comp"]).where("place = 1 OR turn = 1")
+    heads = members.join(chosen.select("tree", "rid"), ["tree", "rid"])
+    return heads, top.where("place = 1").select("tree", "comp")
+
+
+def in_cells(members: DataFrame) -> DataFrame:
+    """Members with the cells (i, j) they take part in and their block; trees of one block have one cell."""
+    large = members.groupBy("tree").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("tree", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(large, "tree", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def all_pairs(members: DataFrame, shards: int, link: tuple[int, int]) -> DataFrame:
+    """Every pair (a, b) of points of different components that the trees leave, of a table (tree, rid, comp, n,
+    vector)."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("tree", "ascending"), ("rid", "ascending")])
-        tree, rid, comp, n = (rows.column(c).to_numpy() for c in ("tree", "rid", "comp", "n"))
+        rows = rows.sort_by([("tree", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rid", "ascending")])
+        tree, rid, comp, n, i_, j_, block = (rows.column(c).to_numpy() for c in ("tree", "rid", "comp", "n", "i", "j", "block"))
         points = Points(n, rows.column("vector"))
-        first = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
+        new = np.ones(len(tree), bool)
+        new[1:] = (tree[1:] != tree[:-1]) | (i_[1:] != i_[:-1]) | (j_[1:] != j_[:-1])
+        first = np.flatnonzero(new)
         out_a, out_b = [], []
-        if turn == 1:  # all with the first of their tree
-            a = np.repeat(first, np.diff(np.append(first, len(tree))))
-            b = np.arange(len(tree))
-            ok = (comp[a] != comp[b]) & (link[1] * np.maximum(n[a], n[b]) <= link[0] * np.minimum(n[a], n[b]))
-            a, b = a[ok], b[ok]
-            ok = points.close(a, b, link)
-            out_a, out_b = [a[ok]], [b[ok]]
-        else:
-            for i, j in zip(first.tolist(), np.append(first[1:], len(tree)).tolist(), strict=True):
-                own, inv, size = np.unique(comp[i:j], return_inverse=True, return_counts=True)
-                if len(own) == 1:
-                    continue
-                if turn == 3:
-                    for a, b in tree_pairs(points.part(np.arange(i, j)), comp[i:j], link):
-                        out_a.append(a + i)
-                        out_b.append(b + i)
-                    continue
-                rank = np.argsort(-size, kind="stable")
-                in_order = np.argsort(mix(rid[i:j].view(np.uint64)))
-                heads = [in_order[inv[in_order] == rank[0]][:4], *(in_order[inv[in_order] == c][:1] for c in rank[1:8])]
-                heads = np.concatenate(heads)
-                rest = np.flatnonzero(inv != rank[0])
-                a, b = (x.ravel() for x in np.meshgrid(heads, rest, indexing="ij"))
-                ok = inv[a] != inv[b]
-                a, b = a[ok] + i, b[ok] + i
-                ok = points.close(a, b, link)
-                out_a.append(a[ok])
-                out_b.append(b[ok])
+        for i, j in zip(first.tolist(), np.append(first[1:], len(tree)).tolist(), strict=True):
+            for a, b in tree_pairs(points.part(np.arange(i, j)), comp[i:j], link, None, block[i:j] if i_[i] != j_[i] else None):
+                out_a.append(a + i)
+                out_b.append(b + i)
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
         return pa.table({"a": pa.array(np.minimum(rid[a], rid[b])), "b": pa.array(np.maximum(rid[a], rid[b]))})
 
-    shard = F.pmod(F.col("tree"), F.lit(shards)).alias("shard")
-    return members.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+    # A tree of one block keeps to its shard with others; cells of larger ones are dealt out.
+    shard = F.pmod(F.xxhash64("tree", "i", "j"), F.lit(shards)).alias("shard")
+    return in_cells(members).withColumn("shard", shard).groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
 def _keys(ids: pa.Array) -> np.ndarray:
@@ -381,7 +411,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, link: tuple[int, int] = LINK)
     same = materialise(rows.where("n > 0").groupBy("set").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc")), "classes")
     heads = rows.select("rid", "set", "doc_id", "n", "vector").join(same.select("rid"), "rid", "left_semi")
     copies = id_set(rows.where("n > 0").select("rid").join(same.select("rid"), "rid", "left_anti"), shards)
-    member = trees(rows, copies, shards).join(heads.select("rid", "n", "vector"), "rid")
+    member = materialise(trees(rows, copies, shards).join(heads.select("rid", "n", "vector"), "rid"), "members")
     member = materialise(not_ruled_out(member, shards, link), "trees")
     known = member.select("rid").distinct().join(heads.select("rid", "doc_id", "set"), "rid")
     shingle_sets = sets(docs, known, size, shards)
@@ -394,7 +424,14 @@ def classes(docs: DataFrame, size: int = SHINGLE, link: tuple[int, int] = LINK)
             # A tree whose points are all in one component has no more to give.
             open_trees = at.groupBy("tree").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tree")
             at = at.join(open_trees, "tree", "left_semi")
-        pairs = candidates(at, turn, shards, link)
+        if turn == 1:
+            first = at.groupBy("tree").agg(F.min("rid").alias("rid"))
+            pairs = with_heads(at, at.join(first, ["tree", "rid"], "left_semi"), link)
+        elif turn == 2:
+            heads_of, largest = largest_heads(at)
+            pairs = with_heads(at.join(largest, ["tree", "comp"], "left_anti"), heads_of, link)
+        else:
+            pairs = all_pairs(at, shards, link)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs, f"pairs{turn}")
