@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from albumweave.functions.vectors import iou, mean_vector
-from albumweave.operators import clusters, feedback, pairs, rejudge, routing
+from albumweave.operators import clusters, density, feedback, folds, messages, pairs, rejudge, routing
 from albumweave.operators.graph import canonical_pairs, components, greedy_matching
 from albumweave.plans import fixtures as fx
 from albumweave.plans.fixtures import prelude
@@ -432,3 +432,49 @@ def album_representatives(spark, sf_dir):
 def mean_vector_norms(spark, sf_dir):
     rows = fx.face_base(spark, sf_dir).groupBy("event_id", (F.col("label") % 2).alias("half")).agg(mean_vector("v", clusters.DIMS).alias("m"))
     return rows.select("event_id", "half", F.round(F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("spread"))
+
+
+@query()
+def density_recluster(spark, sf_dir):
+    faces = fx.face_base(spark, sf_dir)
+    out = density.density_clusters(faces)
+    return out.select("event_id", "row_ix", "cluster")
+
+
+@query("face_base", """WITH d AS (SELECT a.event_id, a.row_ix AS a, b.row_ix AS b, least(greatest(1 - list_inner_product(a.v, b.v), 0), 2) AS d FROM face_base a JOIN face_base b ON a.event_id = b.event_id AND a.row_ix <> b.row_ix),
+    c AS (SELECT event_id, a AS row_ix, min(d) AS core FROM d GROUP BY ALL)
+    SELECT d.event_id, a, b, round(greatest(d, x.core, y.core), 6) AS d FROM d JOIN c x ON x.event_id = d.event_id AND x.row_ix = a JOIN c y ON y.event_id = d.event_id AND y.row_ix = b WHERE a < b AND greatest(d, x.core, y.core) <= 0.3""")
+def reachability_edges(spark, sf_dir):
+    return density.reachability_edges(fx.face_base(spark, sf_dir)).where("d <= 0.3").select("event_id", "a", "b", r6("d"))
+
+
+@query()
+def pair_complete_linkage(spark, sf_dir):
+    judged = pair_unanimity(spark, sf_dir).select("event_id", F.col("a_cluster").alias("a"), F.col("b_cluster").alias("b"), F.col("least").alias("similarity"), (F.col("passed") | (F.col("least") >= 86)).alias("passed"))
+    return folds.complete_linkage(judged)
+
+
+@query()
+def later_wins_reconcile(spark, sf_dir):
+    log = fx.pair_log(spark, sf_dir)
+    # New corrections of one kind can't contradict each other.
+    fresh = (F.col("kind") == "cannot") & (F.col("seq") % 4 == 1)
+    return folds.later_wins(log.withColumn("is_new", fresh))
+
+
+@query()
+def box_dedupe(spark, sf_dir):
+    return folds.best_boxes(fx.detections(spark, sf_dir), box_overlaps(spark, sf_dir)).select("event_id", "face_id", "score")
+
+
+@query("", """WITH m AS (SELECT event_id AS n, user_id, event_type FROM events),
+    r AS (SELECT n, CASE WHEN n % 11 = 0 THEN 'broken' WHEN n % 7 = 0 THEN 'unknown_type' WHEN n % 5 = 0 THEN 'repeated_image' END AS problem, CASE WHEN n % 11 <> 0 AND n % 3 <> 0 THEN 'j' || n END AS job_id FROM m)
+    SELECT n, CASE WHEN problem = 'broken' THEN 'not_json' WHEN problem = 'unknown_type' THEN 'unknown_type' WHEN job_id IS NULL THEN 'no_job_id' ELSE problem END AS problem, job_id FROM r""")
+def message_poison_split(spark, sf_dir):
+    n = F.col("event_id")
+    kind = F.when(n % 7 == 0, "other").otherwise("classify_request")
+    second = F.when(n % 5 == 0, "a").otherwise("b")
+    job = F.when(n % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("j"), n.cast("string")))
+    body = F.format_string('{"type":"%s","job_id":"%s","event_id":"e","images":[{"image_id":"a","s3_key":"k"},{"image_id":"%s","s3_key":"k"}]}', kind, job, second)
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(n.alias("n"), F.when(n % 11 == 0, "broken").otherwise(body).alias("raw"))
+    return messages.parsed(raw).select("n", "problem", "job_id")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from albumweave.functions import vectors as V
-from albumweave.operators import clusters, feedback, messages, pairs, rejudge, routing
+from albumweave.operators import clusters, density, feedback, folds, messages, pairs, rejudge, routing
 from albumweave.operators.config import Thresholds
 from albumweave.operators.graph import canonical_pairs, components, greedy_matching
 
@@ -130,3 +130,65 @@ def test_messages(spark):
     got = {r.raw: (r.problem, r.job_id) for r in messages.parsed(spark.createDataFrame([(b,) for b in bodies], "raw string")).collect()}
     assert {k: v[0] for k, v in got.items()} == bodies
     assert got['{"type":"other","job_id":"j7","event_id":"e"}'][1] == "j7" and got["not json"][1] is None
+
+
+def test_spanning_tree_is_least(spark):
+    import random
+
+    random.seed(8)
+    n = 40
+    d = {(i, j): round(random.random(), 3) for i in range(n) for j in range(i + 1, n)}
+    edges = spark.createDataFrame([("e", i, j, x) for (i, j), x in d.items()], "event_id string, a long, b long, d double")
+    got = {(r.a, r.b) for r in density.spanning_tree(spark.range(n).selectExpr("'e' AS event_id", "id AS row_ix"), edges).collect()}
+    root, want = list(range(n)), set()
+    for (i, j), _ in sorted(d.items(), key=lambda x: (x[1], x[0])):
+        while root[i] != root[root[i]]:
+            root[i] = root[root[i]]
+        a, b = root[i], root[j]
+        if a != b:
+            want.add((i, j))
+            root = [a if r == b else r for r in root]
+    assert got == want
+
+
+def test_density_clusters(spark):
+    rows = [("e", k * 10 + i, v) for k, angle in enumerate((0, 60, 140)) for i, v in enumerate(unit(*(angle + 3 * i + 0.1 * i * i for i in range(5))))]
+    rows += [("e", 99, [math.cos(4.2), math.sin(4.2)]), ("one", 0, [1.0, 0.0])]
+    df = spark.createDataFrame([(e, i, f"f{i}", v) for e, i, v in rows], "event_id string, row_ix long, face_id string, v array<double>")
+    got = {(r.event_id, r.row_ix): r.cluster for r in density.density_clusters(df).collect()}
+    assert all(got["e", k * 10 + i] == k * 10 for k in range(3) for i in range(5)) and got["e", 99] is None and got["one", 0] is None
+
+
+def test_stable_clusters_merge_below_epsilon():
+    edges = [(0.01, 0, 1), (0.012, 2, 3), (0.05, 1, 2), (0.02, 10, 11), (0.9, 3, 10)]
+    points = [0, 1, 2, 3, 10, 11]
+    assert density.stable_clusters(points, edges, 2, 0.15) == {0: 0, 1: 0, 2: 0, 3: 0, 10: 10, 11: 10}
+    assert set(density.stable_clusters(points, edges, 2, 0.0).values()) == {0, 2, 10}
+
+
+def test_later_wins(spark):
+    rows = [("e", 1, False, "must", "a", "b"), ("e", 2, False, "must", "b", "c"), ("e", 3, False, "cannot", "d", "x"), ("e", 9, True, "cannot", "c", "a"), ("e", 10, True, "must", "x", "d")]
+    df = spark.createDataFrame(rows, "event_id string, seq long, is_new boolean, kind string, a string, b string")
+    got = {(r.kind, r.a, r.b) for r in folds.later_wins(df).collect()}
+    assert got == {("must", "b", "c"), ("cannot", "a", "c"), ("must", "d", "x")}
+
+
+def test_complete_linkage_stops_chains(spark):
+    rows = [("e", "a", "b", 99.0, True), ("e", "b", "c", 98.0, True), ("e", "a", "c", 40.0, False), ("e", "p", "q", 91.0, True)]
+    df = spark.createDataFrame(rows, "event_id string, a string, b string, similarity double, passed boolean")
+    assert {(r.album, r.root) for r in folds.complete_linkage(df).collect()} == {("a", "a"), ("b", "a"), ("p", "p"), ("q", "p")}
+
+
+def test_best_boxes_equal_a_walk(spark):
+    import random
+
+    random.seed(6)
+    boxes = [("e", f"f{i}", random.randint(1, 5) / 5, i) for i in range(30)]
+    rivals = {(i, j) for i in range(30) for j in range(i + 1, 30) if random.random() < 0.15}
+    df = spark.createDataFrame(boxes, "event_id string, face_id string, score double, row_ix long")
+    pairs_ = spark.createDataFrame([("e", f"f{i}", f"f{j}") for i, j in rivals], "event_id string, a string, b string")
+    kept = []
+    for b in sorted(boxes, key=lambda b: (-b[2], b[3])):
+        if not any((min(b[3], k), max(b[3], k)) in rivals for k in kept):
+            kept.append(b[3])
+    assert {r.row_ix for r in folds.best_boxes(df, pairs_).collect()} == set(kept)
