@@ -30,21 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     return where if "://" in where or where.startswith("file:") else "file://" + os.path.abspath(where)
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
+#: Folders of working tables that `release` may drop.
+_WORKING: list[str] = []
+
+
+def new_folder(spark: SparkSession, what: str, working: bool = True) -> str:
+    """A fresh path in the shared folder, removed when the driver's JVM ends, or by `release` if it is a working one."""
     uri = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
+    if working:
+        _WORKING.append(uri)
     return uri
 
 
-def materialise(df: DataFrame, what: str = "table") -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Drop all working tables made so far: only once the results that read them are written."""
+    for uri in _WORKING:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _WORKING.clear()
+
+
+def materialise(df: DataFrame, what: str = "table", working: bool = True) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
-    uri = new_folder(spark, what)
+    uri = new_folder(spark, what, working)
     df.write.mode("overwrite").parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 

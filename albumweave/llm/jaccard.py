@@ -458,7 +458,7 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, link: tuple[int, int] = L
     found = materialise(found.join(rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("own_id")), "doc_id"), "components")
     order = F.struct(F.col("own_id").isNull().alias("none"), F.col("own_id").alias("id"), F.col("doc_id").alias("row"))
     stays = found.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("doc_id"))
-    goes = found.join(stays, "doc_id", "left_anti").select(F.col("doc_id").alias("_row"))
+    goes = materialise(found.join(stays, "doc_id", "left_anti").select(F.col("doc_id").alias("_row")), "copies")
     return rows.join(goes, "_row", "left_anti").select(*names)
 
 

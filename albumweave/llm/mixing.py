@@ -48,7 +48,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """One row per document: doc_id, source, size, source_size, target, copies, taken, and _row where there is one."""
     own = [c for c in ("_row",) if c in docs.columns]
     rows = materialise(docs.select("doc_id", *own, "source", n_words(F.col("text")).alias("size")), "sizes")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(salts)).cast("int"))
     salted = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     by_size = salted.groupBy("source", "size").agg(F.sum("n").alias("m"))
     goal = targets(by_size.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).cast("long").alias("source_size")), weights, share, most)
@@ -64,7 +64,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     ranked = rows.withColumn("k0", F.col("source").isNull()).withColumn("k1", F.coalesce("source", F.lit(""))).withColumn("rank", F.row_number().over(in_salt))
     out = ranked.join(start, ["k0", "k1", "size", "salt"]).withColumn("rank", F.col("start") + F.col("rank"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64("k0", "k1", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("k0").cast("string"), F.col("k1")).cast("binary"))
+    offset = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     crossed = F.floor(F.col("rank") * rate + offset) - F.floor((F.col("rank") - 1) * rate + offset)
     copies = F.least(crossed, F.ceil(rate)).cast("long")
     out = out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
