@@ -478,3 +478,40 @@ def message_poison_split(spark, sf_dir):
     body = F.format_string('{"type":"%s","job_id":"%s","event_id":"e","images":[{"image_id":"a","s3_key":"k"},{"image_id":"%s","s3_key":"k"}]}', kind, job, second)
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(n.alias("n"), F.when(n % 11 == 0, "broken").otherwise(body).alias("raw"))
     return messages.parsed(raw).select("n", "problem", "job_id")
+
+
+@query("faces", """WITH k AS (SELECT event_id, prev_cluster_id FROM faces WHERE prev_cluster_id IS NOT NULL AND row_ix % 5 = 1 AND row_ix % 3 <> 0)
+    SELECT DISTINCT event_id, prev_cluster_id AS cluster FROM faces WHERE prev_cluster_id IS NOT NULL AND (event_id, prev_cluster_id) NOT IN (SELECT (event_id, prev_cluster_id) FROM k)""")
+def vanished_ids(spark, sf_dir):
+    faces = fx.faces(spark, sf_dir).where("prev_cluster_id IS NOT NULL").withColumn("cluster", F.col("prev_cluster_id"))
+    return routing.vanished_clusters(faces, faces.where("row_ix % 5 = 1 AND row_ix % 3 <> 0"))
+
+
+@query("face_labels faces", "WITH " + _RULE + """ SELECT event_id, photo_id, min(row_ix) AS first_ix FROM faces JOIN nh USING (event_id, face_id) GROUP BY ALL HAVING bool_and(rule IS NOT NULL)""")
+def demoted_photos(spark, sf_dir):
+    marks = rejudge.nonhuman_rule(fx.face_labels(spark, sf_dir)).where("nonhuman")
+    return routing.demoted_photos(fx.faces(spark, sf_dir), marks)
+
+
+@query("detections", """WITH q AS (SELECT *, least(w, h) >= 64 AND greatest(w / h, h / w) <= 1.4 AS can, row_ix % 3 = 0 AS closed, row_ix % 4 = 1 AS blurred, (row_ix % 90)::DOUBLE AS variance FROM detections)
+    SELECT event_id, photo_id, bool_or(closed) FILTER (WHERE can) AS any_closed, bool_or(blurred) FILTER (WHERE can) AS any_blurred, max(w) FILTER (WHERE can AND blurred) AS widest_blurred, min(variance) FILTER (WHERE can) AS least_variance FROM q GROUP BY ALL""")
+def photo_quality(spark, sf_dir):
+    rows = fx.detections(spark, sf_dir).withColumn("closed", F.col("row_ix") % 3 == 0).withColumn("blurred", F.col("row_ix") % 4 == 1).withColumn("variance", (F.col("row_ix") % 90).cast("double"))
+    return routing.photo_quality(rows)
+
+
+@query("detections", """WITH b AS (SELECT event_id, photo_id, row_ix, row_ix % 200 AS x, row_ix % 150 AS y, round_even(w / 2, 0)::BIGINT AS w, round_even((row_ix % 7) / 2 - 0.5, 0)::BIGINT AS h FROM detections)
+    SELECT event_id, photo_id, string_agg(x || ',' || y || ',' || w || ',' || h, ';' ORDER BY w DESC, row_ix) AS boxes FROM b WHERE w > 0 AND h > 0 GROUP BY ALL""")
+def uncertain_boxes(spark, sf_dir):
+    rows = fx.detections(spark, sf_dir).select("event_id", "photo_id", "row_ix", (F.col("row_ix") % 200).cast("double").alias("x"), (F.col("row_ix") % 150).cast("double").alias("y"), (F.col("w") / 2).alias("w"), ((F.col("row_ix") % 7) / 2 - 0.5).alias("h"))
+    return routing.face_boxes(rows)
+
+
+@query("scored_pairs faces", """WITH f AS (SELECT event_id, face_id, CASE WHEN row_ix % 4 <> 0 THEN label::VARCHAR END AS cluster FROM faces)
+    SELECT p.event_id, p.source_face_id AS face_id, r.cluster, p.similarity FROM scored_pairs p JOIN f r ON r.event_id = p.event_id AND r.face_id = p.rep_face_id AND r.cluster IS NOT NULL
+    JOIN f s ON s.event_id = p.event_id AND s.face_id = p.source_face_id AND s.cluster IS NULL WHERE p.similarity >= 85 AND p.similarity < 90""")
+def resolved_suggestions(spark, sf_dir):
+    faces = fx.faces(spark, sf_dir)
+    final = faces.select("event_id", "face_id", F.when(F.col("row_ix") % 4 != 0, F.col("label").cast("string")).alias("cluster"))
+    asked = fx.scored_pairs(spark, sf_dir).where("similarity >= 85 AND similarity < 90").withColumnRenamed("source_face_id", "face_id")
+    return routing.resolved_suggestions(asked, final)
