@@ -1,5 +1,6 @@
 """A corpus pipeline: each stage takes all that its predecessor kept and, but for the last, returns the columns of
-documents."""
+documents. A stage's result is written before the next stage begins, which then drops the working tables that the last
+one left in the shared folder: results must not be read lazily across stages."""
 
 from __future__ import annotations
 
@@ -8,31 +9,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from albumweave.llm import jaccard, mixing, packing, perplexity, pii
-from albumweave.llm.common import materialise, table
+from albumweave.llm.common import materialise, release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    release(spark)
     return perplexity.passed(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    release(spark)
     return jaccard.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to their kind in brackets."""
+    release(spark)
     return pii.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents occur as often as the mix takes them."""
+    release(spark)
     return mixing.repeated(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences."""
+    release(spark)
     return packing.packed(docs)
 
 
@@ -51,5 +57,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name, working=False)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -95,6 +95,21 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert {r.component_id for r in out.collect()} == {0}
 
 
+def test_jaccard_of_trees_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(11)
+    docs = []
+    for n in (40, 60):
+        base = sentence(rng, n).split()
+        for _ in range(45):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(n)] = f"x{rng.random()}"
+            docs.append((len(docs), " ".join(w)))
+    out = jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == sorted(component_of(docs), key=repr)
+
+
 def test_deduplication_keeps_one_row_of_each_group(documents):
     df, empty = documents
     out = jaccard.deduplicated(df)
