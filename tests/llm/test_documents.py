@@ -252,6 +252,23 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     assert sum(out[i] for i in range(300)) >= 298 and not any(out[1000 + i] for i in range(6))
 
 
+def test_group_of_near_copies_weighs_as_one_text(spark):
+    rng = random.Random(5)
+    vocabulary = [sentence(rng, 1) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)).split()
+    base = prose(90)
+    near = []
+    for _ in range(300):
+        w = list(base)
+        w[rng.randrange(90)] = rng.choice(vocabulary)
+        near.append(" ".join(w))
+    texts = [" ".join(prose(rng.randint(70, 120))) for _ in range(100)] + near
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    out = {r.doc_id: r.kept for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    assert sum(out[i] for i in range(100)) >= 98  # clean neighbours
+    assert all(out[100 + i] for i in range(300))
+
+
 def test_scores(documents):
     df, empty = documents
     docs = df.select("doc_id", "text", (scoring.fold() % 10 == 0).alias("held_out"))
