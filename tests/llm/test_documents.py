@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import statistics
 import zlib
 
 import numpy as np
@@ -269,6 +270,20 @@ def test_group_of_near_copies_weighs_as_one_text(spark):
     assert all(out[100 + i] for i in range(300))
 
 
+def test_bands_of_small_cells_are_wide_and_change_smoothly(spark):
+    normal = statistics.NormalDist()
+    levels = lambda n, center, spread: [center + spread * normal.inv_cdf((i + 0.5) / n) for i in range(n)]
+    long, uppers = [("en", 9, x) for x in levels(2000, 1.0, 0.02)], {}
+    for n in (1, 5, 12, 39, 41, 300):
+        short = levels(n, 1.2, 0.25)
+        rows = spark.createDataFrame(long + [("en", 3, x) for x in short] + [("en", 4, 9.0)], "lang string, size_class int, level double")
+        out = {r.of_size: r for r in perplexity.bands(rows.selectExpr("*", "false AS base_failed", "true AS _first")).collect()}
+        assert out[3].lower < min(short) and max(short) < out[3].upper < 4
+        assert out[9].upper < 1.5 and out[4].upper < 9  # a lone text far off is no cell's measure
+        uppers[n] = out[3].upper
+    assert abs(uppers[39] - uppers[41]) < 0.1
+
+
 def test_scores(documents):
     df, empty = documents
     docs = df.select("doc_id", "text", (scoring.fold() % 10 == 0).alias("held_out"))
