@@ -3,9 +3,10 @@
 Base spans come from four strict patterns with checks (octets, card check digit, numbers of digits). Loose patterns with
 high recall propose further spans of the same kinds, with other separators and spelled-out marks. Gradient-boosted trees
 score each proposal from its format and context; they are fitted to the proposals of all texts, summed up by their
-feature values, against the base spans (a proposal is right if it overlaps a base span of its kind). The threshold of
-each kind is the lowest at which, in a fifth of the texts kept from fitting, at least `PRECISION` of the proposals are
-right; a kind without one adds nothing. Proposals over it that overlap no base span of their kind are added.
+feature values. A proposal is right if it overlaps a base span of its kind or holds up by itself (`plausible`): it
+passes the checks of its kind and is marked by its spelling or a cue of its kind before it. The threshold
+of each kind is the lowest at which, in a fifth of the texts kept from fitting, at least `PRECISION` of the proposals that
+overlap no base span of their kind are right; a kind without one adds nothing. Such proposals over it are added.
 
 Offsets count code points, ends are exclusive. Null and empty texts have no spans. A null doc_id is kept. Rows that
 repeat give equal results; other columns are kept by `redact` and ignored by `find`; an empty table gives an empty
@@ -38,11 +39,17 @@ LOOSE = {
 }
 #: Texts without these hold no match.
 NEEDS = {"email": r"@|\([aA][tT]\)|\[[aA][tT]\]|\s[dD][oO][tT]\s", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
-CUE = r"(?i)(?:mail|contact|write|tel|phone|call|fax|mobile|card|visa|credit|host|server|addr)"
+#: Words that announce a kind, at most 24 characters before it.
+CUE = {
+    "email": r"(?i)(?:mail|contact|kontakt|contacto|write|reach|schreib|correo|courriel|[ée]cri)",
+    "ip": r"(?i)(?:host|server|servidor|serveur|addr|adress|direcci|\bip\b)",
+    "card": r"(?i)(?:card|visa|credit|kredit|karte|carte|tarjeta)",
+    "phone": r"(?i)(?:\btel|phone|t[ée]l[ée]f|\bcall|\bfax|mobil|m[óo]vil|handy|rufnummer|anruf|llam|appel|contact|kontakt)",
+}
 PRECISION = 0.95
 TREES, DEPTH = 10, 3
 SPAN = "array<struct<s:int,e:int,t:string>>"
-FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "digits", "letters", "marks", "check", "octets", "at", "plus", "before", "after", "cue"]
+FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "digits", "letters", "marks", "check", "octets", "at", "bracket", "plus", "before", "after", "cue"]
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -78,6 +85,17 @@ def valid(kind: str, t: Column) -> Column:
     return F.lit(True)
 
 
+def plausible() -> Column:
+    """Whether a proposal's features speak for it without a strict match."""
+    c = {k: F.col(k) for k in FEATURES}
+    cue, free = c["cue"] == 1, ~c["before"].isin(2, 3) & ~c["after"].isin(2, 3)
+    email = (c["bracket"] == 1) | cue
+    card = c["digits"].between(13, 19) & (c["check"] == 1) & cue & free
+    phone = c["digits"].between(8, 15) & (cue | (c["plus"] == 1)) & free
+    ip = (c["octets"] == 1) & cue & free
+    return F.when(F.col("kind") == "email", email).when(F.col("kind") == "card", card).when(F.col("kind") == "phone", phone).otherwise(ip)
+
+
 def base_spans(text: Column, kind: str) -> Column:
     none = F.expr(f"cast(array() as {SPAN})")
     needs = "@" if kind == "email" else "[+][0-9]" if kind == "phone" else NEEDS[kind]
@@ -100,10 +118,11 @@ def proposals(text: Column, kind: str) -> Column:
             (F.length(d).between(13, 19) & F.call_function("luhn_check", d)).cast("int").alias("check"),
             octets(x["t"]).cast("int").alias("octets"),
             x["t"].contains("@").cast("int").alias("at"),
+            x["t"].rlike(r"[(\[]").cast("int").alias("bracket"),
             x["t"].startswith("+").cast("int").alias("plus"),
             kind_of(F.when(x["s"] == 0, "").otherwise(F.substring(text, x["s"], F.lit(1)))).alias("before"),
             kind_of(F.substring(text, x["e"] + 1, F.lit(1))).alias("after"),
-            F.substring(text, F.greatest(x["s"] - 24, F.lit(1)), F.least(x["s"], F.lit(25))).rlike(CUE).cast("int").alias("cue"),
+            F.substring(text, F.greatest(x["s"] - 24, F.lit(1)), F.least(x["s"], F.lit(25))).rlike(CUE[kind]).cast("int").alias("cue"),
         )
 
     return F.transform(F.when(text.rlike(NEEDS[kind]), spans(text, LOOSE[kind])).otherwise(none), described)
@@ -117,13 +136,13 @@ def _scored(rows: DataFrame, model) -> DataFrame:
 def fitted(found: DataFrame):
     """(model, thresholds by kind), or None when all proposals are of one class. The table is summed up by feature
     values before fitting; its size is bounded by their number of combinations, not by the texts."""
-    summed = materialise(found.groupBy("kind", "right", "kept_out", *FEATURES).agg(F.count("*").cast("double").alias("w")), "features")
+    summed = materialise(found.groupBy("kind", "right", "over", "kept_out", *FEATURES).agg(F.count("*").cast("double").alias("w")), "features")
     train = summed.where(~F.col("kept_out")).withColumn("label", F.col("right").cast("double"))
     if train.select("label").distinct().count() < 2:
         return None
     train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train).select("features", "label", "w").coalesce(1)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, weightCol="w", seed=1, maxBins=32).fit(train)
-    levels = _scored(summed.where("kept_out"), model).groupBy("kind", F.round("p", 3).alias("p")).agg(F.sum("w").alias("n"), F.sum(F.when(F.col("right"), F.col("w")).otherwise(0.0)).alias("r"))
+    levels = _scored(summed.where("kept_out AND NOT over"), model).groupBy("kind", F.round("p", 3).alias("p")).agg(F.sum("w").alias("n"), F.sum(F.when(F.col("right"), F.col("w")).otherwise(0.0)).alias("r"))
     thresholds: dict[str, float] = {}
     held: dict[str, tuple[float, float]] = {}
     for row in levels.orderBy("kind", F.desc("p")).collect():  # 1,001 levels for each kind at most
@@ -144,10 +163,10 @@ def detect(docs: DataFrame) -> DataFrame:
     rows = materialise(rows, "spans")
     found = rows.where(F.size("proposed") > 0).select("rid", "base", F.explode("proposed").alias("x")).select("rid", "base", "x.*")
     over = lambda k: F.exists(F.col("base")[k], lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
-    right = F.lit(False)
+    strict = F.lit(False)
     for k in KINDS:
-        right = F.when(F.col("kind") == k, over(k)).otherwise(right)
-    found = found.withColumn("right", right).withColumn("kept_out", F.pmod(F.xxhash64("rid"), F.lit(5)) == 0).drop("base")
+        strict = F.when(F.col("kind") == k, over(k)).otherwise(strict)
+    found = found.withColumn("over", strict).withColumn("right", F.col("over") | plausible()).withColumn("kept_out", F.pmod(F.xxhash64("rid"), F.lit(5)) == 0).drop("base")
     fit = fitted(found)
     none = "cast(array() as array<struct<kind:string,s:int,e:int>>)"
     if fit is None or not fit[1]:
@@ -157,7 +176,7 @@ def detect(docs: DataFrame) -> DataFrame:
         least = F.lit(None).cast("double")
         for k, p in thresholds.items():
             least = F.when(F.col("kind") == k, F.lit(p)).otherwise(least)
-        new = _scored(found.where(~F.col("right")), model).where(F.round("p", 3) >= least)
+        new = _scored(found.where(~F.col("over")), model).where(F.round("p", 3) >= least)
         new = new.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("added"))
         rows = rows.join(new, "rid", "left").withColumn("added", F.coalesce("added", F.expr(none)))
     every = []

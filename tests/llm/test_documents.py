@@ -381,6 +381,26 @@ def test_personal_data(documents, spark):
     assert pii.find(empty).count() == 0
 
 
+def test_spelled_out_mails_and_cued_numbers_are_added(spark):
+    forms = {
+        "strict": ("mail anna{0}@site.org or +1 555 {0} 4567 now", None),
+        "mail": ("ask ben{0} (at) site [dot] org soon", ("email", "ben{0} (at) site [dot] org")),
+        "cued": ("tel 555 {0} 4567 today", ("phone", "555 {0} 4567")),
+        "plain": ("order 555 {0} 4567 shipped", None),
+        "run": ("number 99{0}12345 of the list", None),
+    }
+    rows, want = [], {}
+    for i in range(200):
+        for form, (t, span) in forms.items():
+            rows.append((len(rows), t.format(100 + i)))
+            x = span and span[1].format(100 + i)
+            want[len(rows) - 1] = form, x and f"{span[0]}:{rows[-1][1].index(x)}:{rows[-1][1].index(x) + len(x)}"
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        form, span = want[r.doc_id]
+        if form != "strict":
+            assert r.spans == (span or ""), (rows[r.doc_id], r.spans)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é mail a@b.cd or 1.2.3.4!", 25), (2, None, 0), (3, "nothing", 7)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(df).collect()}
