@@ -1,7 +1,9 @@
 """The worker as a stream: message files in, state tables per event and results out, each batch repeatable.
 
 Order inside a batch: state first, then results, then the offsets (by Spark, when the batch function returns). A batch
-that is run again writes the same events again and replaces its own results, so every message takes effect once."""
+that is run again writes the same events again and replaces its own results, so every message takes effect once.
+
+Corrections (cluster_feedback) are not applied yet: they are answered `failed`, so that the sender knows."""
 
 from __future__ import annotations
 
@@ -40,9 +42,8 @@ def applied(spark: SparkSession, batch: DataFrame, state: str, extract) -> DataF
     emptied = [r.event_id for r in before.join(now.select("event_id").distinct(), "event_id", "left_anti").collect()]  # a batch's events
     events.overwrite(now, state)
     events.remove(spark, state, emptied)
-    known = now.select("event_id").distinct().withColumn("known", F.lit(True))
-    done = rows.where("message IS NOT NULL").select("job_id", "message.type", "message.event_id").join(known, "event_id", "left")
-    status = F.when((F.col("type") == "cluster_feedback") & F.col("known").isNull(), "failed").otherwise("succeeded")
+    done = rows.where("message IS NOT NULL").select("job_id", "message.type", "message.event_id")
+    status = F.when(F.col("type") == "cluster_feedback", "failed").otherwise("succeeded")
     out = done.select("job_id", "event_id", status.alias("status"))
     poison = rows.where("message IS NULL AND job_id IS NOT NULL").select("job_id", F.lit(None).cast("string").alias("event_id"), F.lit("failed").alias("status"))
     return out.unionByName(poison).dropDuplicates(["job_id"])

@@ -59,6 +59,15 @@ def test_stream_takes_each_message_once(spark, tmp_path):
     assert events.read(spark, where["state"]).count() == 0
 
 
+def test_feedback_that_is_not_applied_is_not_answered_succeeded(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    events.overwrite(rows(spark, "e1", 2), state)
+    message = {"type": "cluster_feedback", "job_id": "j", "event_id": "e1", "action": "confirm_distinct", "confirm_distinct": {"cluster_ids": ["x", "y"]}}
+    out = worker.applied(spark, spark.createDataFrame([(json.dumps(message),)], "raw string"), state, extract).collect()
+    assert [(r.job_id, r.status) for r in out] == [("j", "failed")]
+    assert events.read(spark, state).count() == 2
+
+
 def test_progress_keeps_the_furthest_tick(spark):
     ticks = spark.createDataFrame([("j", 3, 9), ("j", 6, 9), ("j", 3, 9)], "job_id string, processed int, total int")
     assert tuple(worker.progress(ticks).first()) == ("j", 6, 9)
