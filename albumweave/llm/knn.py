@@ -82,6 +82,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE, pivots:
     radius, size = np.full(len(p), -1.0), np.zeros(len(p), np.int64)
     for r in groups:
         radius[r.cell], size[r.cell] = r.radius, r.n
+    # No query counts its own rows: the most that one query id has in a group are left out of the group's size.
+    for r in placed.where("asks").groupBy("cell", "vec_id").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max("n").alias("n")).collect():
+        size[r.cell] -= r.n
     summary = sc.broadcast((radius, size))
     blocks = {r.cell: (max(1, -(-r.n // DATA_BLOCK)), max(1, -(-r.queries // QUERY_BLOCK))) for r in groups}
     count = vectors.sparkSession.createDataFrame([(c, d, q) for c, (d, q) in blocks.items()], "cell int, data_blocks int, query_blocks int")
@@ -109,7 +112,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE, pivots:
                 low, high = np.where(full, dot - spread - slack, -np.inf), np.where(full, dot + spread + slack, -np.inf)
                 # The k-th score is at least the bound down to which groups, without the query itself, hold k vectors.
                 order = np.argsort(-low, 1)
-                held = np.cumsum(np.maximum(size[order], 0), 1) - 1 >= k
+                held = np.cumsum(size[order], 1) >= k
                 at = np.where(held.any(1), held.argmax(1), len(p) - 1)
                 least = np.where(held.any(1), np.take_along_axis(low, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], -np.inf)
                 cells = np.flatnonzero(full & (high >= least[:, None]).any(0))

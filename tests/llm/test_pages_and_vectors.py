@@ -120,3 +120,9 @@ def test_top_k(spark, size):
     for r in knn.top_k(df, F.col("vec_id") % 50 == 0).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in brute(rows).items() if v}
+
+
+def test_top_k_of_a_query_repeated_in_a_tight_group(spark):
+    rows = [(0, [10.0, 0.0])] * 20 + [(i, [1.0, i / 10]) for i in range(1, 31)] + [(i, [2.0, i / 10]) for i in range(31, 36)]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, k + 1, 31 + k) for k in range(5)]
