@@ -37,6 +37,11 @@ class Thresholds:
     small_score: float = 0.60
     false_score: float = 0.78
     false_aspect: float = 0.70
+    promote: float = 0.45
+    promote_floor: float = 0.40
+    match: float = 0.0
+    epsilon: float = 0.15
+    min_size: int = 2
     min_samples: int = 2
     candidates: int = 3
     representatives: int = 2
@@ -50,6 +55,8 @@ class Thresholds:
             raise ValueError("suggest must not exceed assign")
         if self.membership and self.grey_ceiling and self.grey_ceiling < self.membership:
             raise ValueError("grey_ceiling must not be below membership")
-        for name in ("duplicate", "same_photo_exempt", "merge_centroid", "merge_pair_mean", "rescue", "margin_floor", "membership", "grey_ceiling", "grey_pair", "lonely_face", "album_pair", "background_width", "large_width"):
+        if self.promote_floor > self.promote:
+            raise ValueError("promote_floor must not exceed promote")
+        for name in ("promote", "promote_floor", "match", "duplicate", "same_photo_exempt", "merge_centroid", "merge_pair_mean", "rescue", "margin_floor", "membership", "grey_ceiling", "grey_pair", "lonely_face", "album_pair", "background_width", "large_width"):
             if getattr(self, name) > 1:
                 raise ValueError(f"{name} is above 1")

@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from albumweave.operators.pairs import blocks_of, stars
+
 PASSES = 50
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The table, written to the cluster's checkpoint folder; a session without one gets a local folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            import os
-            import tempfile
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets a local folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return where.rstrip("/")
 
-            where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read back, which cuts its lineage; it goes when the driver ends. Sizes
+    are known then, and none of the plan behind it is kept."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("event_id",), node: str = "row_ix") -> DataFrame:
@@ -40,6 +52,18 @@ def components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("eve
     raise RuntimeError("components did not settle")
 
 
+def similar_components(faces: DataFrame, least: float) -> DataFrame:
+    """(event_id, row_ix, root): components of an event's faces over pairs of cosine >= least. The stars of an event
+    of one block are its components already; others are joined over their cells."""
+    found = settled(stars(faces, least))
+    nodes = faces.select("event_id", "row_ix")
+    large = blocks_of(faces.select("event_id", "row_ix")).where("blocks > 1").select("event_id").distinct()
+    if large.isEmpty():
+        rows = nodes.join(found.withColumnRenamed("a", "row_ix"), ["event_id", "row_ix"], "left")
+        return rows.select("event_id", "row_ix", F.coalesce("b", "row_ix").alias("root"))
+    return components(nodes, found)
+
+
 def canonical_pairs(pairs: DataFrame, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Undirected pairs (a <= b), each once, with the first seq at which it occurred; self pairs are dropped."""
     return pairs.where("a <> b").groupBy(*keys, "kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("seq").alias("seq"))

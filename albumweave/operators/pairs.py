@@ -1,29 +1,122 @@
-"""Joins of faces with faces of their event."""
+"""Joins of faces with faces of their event, as matrix products of blocks.
+
+An event's faces are dealt into blocks of about `BLOCK`, as many as its size asks for. Two blocks meet in one cell, a
+group of rows that one task multiplies, so that a large event's pairs are many tasks and no table of all pairs is
+shuffled: a cell hands on only what its caller wants of it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from albumweave.functions.vectors import dot
 from albumweave.operators.config import Thresholds
 
 T = Thresholds()
-#: Blocks that a large event's rows are dealt into, so that its pairs are many tasks.
-BLOCKS = 4
+#: Faces of a block.
+BLOCK = 1024
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal-length lists of numbers as rows; other lengths and nulls are an error."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lens = column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or (len(lens) and lens.min() != lens.max()):
+        raise ValueError("vectors must have one length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lens), -1)
+
+
+def blocks_of(faces: DataFrame, block: int = BLOCK) -> DataFrame:
+    """`faces` with the number of blocks of their event and their own."""
+    large = faces.groupBy("event_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    rows = faces.join(large, "event_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return rows.withColumn("block", F.pmod(F.xxhash64("row_ix"), F.col("blocks")).cast("int"))
+
+
+class Cell:
+    """The rows of a cell in order of row_ix: two sides, the same one where a block meets itself."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.rows = rows.sort_by("row_ix")
+        self.ix = self.rows.column("row_ix").to_numpy()
+        block = self.rows.column("block").to_numpy()
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        self.same = i == j
+        self.left, self.right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        v = matrix(self.rows.column("v"))
+        self.similarity = v[self.left] @ v[self.right].T
+
+    def column(self, name: str) -> np.ndarray:
+        return self.rows.column(name).to_numpy()
+
+    def distance(self) -> np.ndarray:
+        """Cosine distances, infinite from a face to itself."""
+        d = np.clip(1.0 - self.similarity, 0.0, 2.0)
+        if self.same:
+            d = np.minimum(d, d.T)
+            np.fill_diagonal(d, np.inf)
+        return d
+
+    def pairs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows a, rows b, places in the left and in the right side) of the wanted pairs, each once, a before b."""
+        p, q = np.nonzero(np.triu(wanted, 1) if self.same else wanted)
+        a, b = self.left[p], self.right[q]
+        return np.minimum(a, b), np.maximum(a, b), p, q
+
+
+def in_cells(faces: DataFrame, run: Callable[[Cell], pa.Table], schema: T_.StructType, extra: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """What `run` makes of every cell of faces (event_id, row_ix, face_id, v, extras)."""
+    rows = blocks_of(faces.select("event_id", "row_ix", "face_id", "v", *extra), block)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    return rows.groupBy("event_id", "i", "j").applyInArrow(lambda part: run(Cell(part)), schema)
+
+
+def event_pairs(faces: DataFrame, least: float, extra: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """(event_id, a_ix, b_ix, a, b, extras of both, similarity) for a_ix < b_ix with cosine >= least. Vectors are of
+    unit length."""
+    kind = {f.name: f.dataType for f in faces.schema.fields}
+    names = {"ix": "row_ix", "": "face_id", **{c: c for c in extra}}
+    named = lambda p, k: f"{p}_{k}" if k else p
+    schema = T_.StructType([T_.StructField("event_id", kind["event_id"]), *(T_.StructField(named(p, k), kind[c]) for p in "ab" for k, c in names.items()), T_.StructField("similarity", T_.DoubleType())])
+
+    def run(cell: Cell) -> pa.Table:
+        a, b, p, q = cell.pairs(cell.similarity >= least)
+        of = {"a": cell.rows.take(pa.array(a)), "b": cell.rows.take(pa.array(b))}
+        made = {"event_id": of["a"].column("event_id")}
+        made |= {named(side, k): of[side].column(c) for side in "ab" for k, c in names.items()}
+        return pa.table(made | {"similarity": pa.array(cell.similarity[p, q])})
+
+    return in_cells(faces, run, schema, extra, block)
+
+
+def stars(faces: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(event_id, a, b) of row numbers: within each cell, every face of a component over `least` beside the component's
+    first face. One cell holds all pairs of two blocks, so the stars connect what the pairs connect."""
 
+    def run(cell: Cell) -> pa.Table:
+        a, b, _, _ = cell.pairs(cell.similarity >= least)
+        root = np.arange(len(cell.ix))
+        while True:  # the least neighbour's root, then that root's own
+            low = root.copy()
+            np.minimum.at(low, a, root[b])
+            np.minimum.at(low, b, root[a])
+            low = low[low]
+            np.minimum.at(low, root, low)  # a root that found a lesser one takes its followers along
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        at = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"event_id": cell.rows.column("event_id").take(pa.array(at)), "a": pa.array(cell.ix[at]), "b": pa.array(cell.ix[root[at]])})
 
-def event_pairs(faces: DataFrame, least: float, extra: tuple[str, ...] = (), blocks: int = BLOCKS) -> DataFrame:
-    """(event_id, a_ix, b_ix, a, b, similarity, extras of both) for a_ix < b_ix with cosine >= least. Vectors are of
-    unit length. Rows meet once, in the cell of their two blocks: an event's pairs are dealt over blocks * blocks
-    tasks."""
-    own = faces.select("event_id", "row_ix", "face_id", "v", *extra).withColumn("block", F.pmod(F.xxhash64("row_ix"), F.lit(blocks)).cast("int"))
-    side = lambda p: [F.col("row_ix").alias(f"{p}_ix"), F.col("face_id").alias(p), F.col("v").alias(f"{p}_v"), *(F.col(c).alias(f"{p}_{c}") for c in extra)]
-    cells = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = own.withColumn("other", F.explode(cells)).select("event_id", F.col("block").alias("i"), F.col("other").alias("j"), *side("a"))
-    right = own.withColumn("other", F.explode(cells)).select("event_id", F.col("other").alias("i"), F.col("block").alias("j"), *side("b"))
-    pairs = left.join(right, ["event_id", "i", "j"]).where("a_ix < b_ix").withColumn("similarity", dot("a_v", "b_v"))
-    return pairs.where(F.col("similarity") >= least).drop("a_v", "b_v", "i", "j")
+    schema = T_.StructType([faces.schema["event_id"], T_.StructField("a", T_.LongType()), T_.StructField("b", T_.LongType())])
+    return in_cells(faces, run, schema, (), block)
 
 
 def same_photo_cannot_links(faces: DataFrame, exempt: float = T.same_photo_exempt) -> DataFrame:
@@ -31,4 +124,4 @@ def same_photo_cannot_links(faces: DataFrame, exempt: float = T.same_photo_exemp
     a = faces.select("event_id", "photo_id", F.col("row_ix").alias("a_ix"), F.col("face_id").alias("a"), F.col("v").alias("a_v"))
     b = faces.select("event_id", "photo_id", F.col("row_ix").alias("b_ix"), F.col("face_id").alias("b"), F.col("v").alias("b_v"))
     pairs = a.join(b, ["event_id", "photo_id"]).where("a_ix < b_ix").withColumn("similarity", dot("a_v", "b_v"))
-    return pairs.where(F.col("similarity") < exempt).select("event_id", "photo_id", "a", "b", "similarity")
+    return pairs.where(F.col("similarity") < exempt).select("event_id", "photo_id", "a", "b", "a_ix", "b_ix", "similarity")

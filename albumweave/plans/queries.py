@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from albumweave.functions.vectors import iou, mean_vector
 from albumweave.operators import clusters, density, feedback, folds, messages, pairs, rejudge, routing
-from albumweave.operators.graph import canonical_pairs, components, greedy_matching
+from albumweave.operators.graph import canonical_pairs, greedy_matching, similar_components
 from albumweave.plans import fixtures as fx
 from albumweave.plans.fixtures import prelude
 
@@ -47,8 +47,7 @@ _COMPONENTS = """edges AS (SELECT event_id, a_ix AS a, b_ix AS b FROM dots WHERE
 def connected_albums(spark, sf_dir):
     """The flagship: similar faces of an event, their components, and the photos of each album of two or more photos."""
     faces = fx.faces(spark, sf_dir)
-    edges = pairs.event_pairs(faces, pairs.T.pair_similarity).select("event_id", F.col("a_ix").alias("a"), F.col("b_ix").alias("b"))
-    rows = components(faces.select("event_id", "row_ix"), edges).join(faces.select("event_id", "row_ix", "photo_id"), ["event_id", "row_ix"])
+    rows = similar_components(faces, pairs.T.pair_similarity).join(faces.select("event_id", "row_ix", "photo_id"), ["event_id", "row_ix"])
     photos = rows.groupBy("event_id", "root", "photo_id").agg(F.count("*").alias("n_faces"))
     return photos.join(photos.groupBy("event_id", "root").agg(F.count("*").alias("n")).where("n >= 2").drop("n"), ["event_id", "root"])
 
@@ -62,8 +61,7 @@ def within_event_pairs(spark, sf_dir):
     SELECT event_id, root, count(*) AS n, min(row_ix) AS first_ix, max(row_ix) AS last_ix FROM roots GROUP BY ALL HAVING count(*) > 1""")
 def near_duplicate_groups(spark, sf_dir):
     faces = fx.faces(spark, sf_dir)
-    edges = pairs.event_pairs(faces, pairs.T.duplicate).select("event_id", F.col("a_ix").alias("a"), F.col("b_ix").alias("b"))
-    return components(faces.select("event_id", "row_ix"), edges).groupBy("event_id", "root").agg(F.count("*").alias("n"), F.min("row_ix").alias("first_ix"), F.max("row_ix").alias("last_ix")).where("n > 1")
+    return similar_components(faces, pairs.T.duplicate).groupBy("event_id", "root").agg(F.count("*").alias("n"), F.min("row_ix").alias("first_ix"), F.max("row_ix").alias("last_ix")).where("n > 1")
 
 
 @query("dots", "SELECT event_id, a_photo AS photo_id, a, b, round(s, 6) AS similarity FROM dots WHERE a_photo = b_photo AND s < 0.95")
@@ -430,7 +428,7 @@ def album_representatives(spark, sf_dir):
 @query("face_base", """WITH m AS (SELECT event_id, label % 2 AS half, pos, avg(x) AS x FROM (SELECT event_id, label, unnest(v) AS x, unnest(range(74)) AS pos FROM face_base) GROUP BY ALL)
     SELECT event_id, half, round(sqrt(sum(x * x)), 6) AS spread FROM m GROUP BY ALL""")
 def mean_vector_norms(spark, sf_dir):
-    rows = fx.face_base(spark, sf_dir).groupBy("event_id", (F.col("label") % 2).alias("half")).agg(mean_vector("v", clusters.DIMS).alias("m"))
+    rows = fx.face_base(spark, sf_dir).groupBy("event_id", (F.col("label") % 2).alias("half")).agg(mean_vector("v", clusters.vector_size(fx.face_base(spark, sf_dir))).alias("m"))
     return rows.select("event_id", "half", F.round(F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("spread"))
 
 
@@ -445,7 +443,7 @@ def density_recluster(spark, sf_dir):
     c AS (SELECT event_id, a AS row_ix, min(d) AS core FROM d GROUP BY ALL)
     SELECT d.event_id, a, b, round(greatest(d, x.core, y.core), 6) AS d FROM d JOIN c x ON x.event_id = d.event_id AND x.row_ix = a JOIN c y ON y.event_id = d.event_id AND y.row_ix = b WHERE a < b AND greatest(d, x.core, y.core) <= 0.3""")
 def reachability_edges(spark, sf_dir):
-    return density.reachability_edges(fx.face_base(spark, sf_dir)).where("d <= 0.3").select("event_id", "a", "b", r6("d"))
+    return density.reachability_edges(fx.face_base(spark, sf_dir), most=0.3).select("event_id", "a", "b", r6("d"))
 
 
 @query()
