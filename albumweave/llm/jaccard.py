@@ -2,8 +2,9 @@
 
 Shingles are hashed into groups, 64 to 1,024 by the size of the set; a text is the point of its group counts. Points of
 more groups are folded for a comparison with one of fewer. For two texts the sum of the smaller
-coordinates bounds their overlap from above, and so do the boxes of an R-tree for all texts below them, so that pairs
-and whole boxes that can't reach the threshold are left out. What is left is verified on the sets.
+coordinates bounds their overlap from above, and so do the boxes of an R-tree for all texts below them: a tree is joined
+with itself from the root down, and pairs of boxes and of points that can't reach the threshold are left out. What is
+left is verified on the sets.
 
 Trees are built where linked texts are sure to meet. Every text takes part in the tree of each of its leading shingles:
 in an order that all texts share, rare groups first, the first n - ceil(t * n) + 1 of its n shingles; two texts over the
@@ -11,7 +12,8 @@ threshold t have one of these in common. Texts with equal sets are one point, an
 
 Only links that can join two components are verified, in three rounds: each tree's points against one of them; those
 not yet in the tree's largest component against a few of each large one; and last every pair of points of different
-components that the trees leave. Each round is followed by connected components, so that a group of thousands of near
+components that the trees leave, on finer points of about one group for each shingle, and named by one of the trees that
+hold both. Each round is followed by connected components, so that a group of thousands of near
 copies costs about one verification for each copy, while no link between components can be missed.
 
 Null and empty texts have no shingles and link with nothing: their component is their own doc_id. Texts of fewer words
@@ -36,10 +38,16 @@ from albumweave.llm.words import distinct, mix, shingles, slices
 #: Link when LINK[0] * overlap >= LINK[1] * union.
 LINK = (100, 80)
 SHINGLE = 5
-#: Coordinates of a count vector for sets below 1,024 shingles, doublings for larger ones; points of a leaf.
-GROUPS, LEVELS, LEAF = 64, 4, 32
-#: Bytes kept of a shingle's 64-bit hash to find texts with a common one, and to compare two sets.
+#: Coordinates of the shortest count vectors; points of a leaf, boxes of an inner node.
+GROUPS, LEAF, FANOUT = 64, 32, 8
+#: Doublings of a vector's coordinates: at most, and the bits of a set's size below which there are none.
+COARSE, FINE = (4, 10), (6, 6)
+#: Bytes kept of a shingle's 64-bit hash to find texts with a common one; sets are compared by whole hashes.
 WIDTH = 6
+#: Trees that a point knows itself to be in, so that a pair is named by the first one of them that it shares.
+KNOWN = 16
+#: Bytes of count vectors that one task compares.
+TASK_BYTES = 16 << 20
 #: Members of a tree that one task compares; larger trees are cut into blocks that meet in pairs.
 BLOCK = 2048
 #: Points that others are compared with in the second round: of the largest component of a tree, and of how many more.
@@ -122,9 +130,13 @@ def points(docs: DataFrame, size: int, link: tuple[int, int]) -> DataFrame:
     return materialise(made.withColumn("rid", F.monotonically_increasing_id()), "points")
 
 
-def vector(h: np.ndarray) -> np.ndarray:
+def doublings(n: int, scale: tuple[int, int]) -> int:
+    return min(scale[0], max(0, int(n).bit_length() - scale[1]))
+
+
+def vector(h: np.ndarray, scale: tuple[int, int] = COARSE) -> np.ndarray:
     """Group counts of a set, in bytes if they fit."""
-    groups = GROUPS << min(LEVELS, max(0, len(h).bit_length() - 10))
+    groups = GROUPS << doublings(len(h), scale)
     n = np.bincount(((h >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return n.astype(np.uint8 if n.max() < 256 else "<u4")
 
@@ -132,13 +144,13 @@ def vector(h: np.ndarray) -> np.ndarray:
 class Points:
     """Count vectors at each number of groups; a vector is there at its own number and all smaller ones."""
 
-    def __init__(self, n: np.ndarray, column: pa.ChunkedArray) -> None:
+    def __init__(self, n: np.ndarray, column: pa.ChunkedArray, scale: tuple[int, int] = COARSE) -> None:
         self.n = n
-        self.level = np.array([min(LEVELS, max(0, int(x).bit_length() - 10)) for x in n], np.int64)
+        self.level = np.array([doublings(x, scale) for x in n], np.int64)
         self.at: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         data = column.to_pylist()
-        for lv in range(LEVELS, -1, -1):
+        for lv in range(int(self.level.max(initial=0)), -1, -1):
             rows = np.flatnonzero(self.level >= lv)
             groups = GROUPS << lv
             at = np.full(len(n), -1, np.int64)
@@ -217,39 +229,68 @@ def trees(rows: DataFrame, copies: HashArrays, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(meet, "tree long, rid long").distinct()
 
 
+class RTree:
+    """Boxes over the coarsest coordinates of points, in order of size: leaves of `LEAF` points, inner nodes of `FANOUT`
+    boxes up to one root. A box is its largest coordinates, sizes, components, and whether a point is asked for."""
+
+    def __init__(self, points: Points, comp: np.ndarray, asked: np.ndarray) -> None:
+        v = points.counts[0][points.at[0]]
+        self.order = np.lexsort((v[:, 1], v[:, 0], points.n))
+        own, n = comp[self.order], points.n[self.order]
+        boxes = (v[self.order], n, n, own, own, asked[self.order])
+        least, most, either = np.minimum.reduceat, np.maximum.reduceat, np.logical_or.reduceat
+        self.levels: list[tuple] = []
+        width = LEAF
+        while not self.levels or len(self.levels[-1][0]) > 1:
+            at = np.arange(0, len(boxes[0]), width)
+            boxes = tuple(f(x, at, 0) for f, x in zip((most, least, most, least, most, either), boxes, strict=True))
+            self.levels.append(boxes)
+            width = FANOUT
+
+    def meet(self, level: int, i: np.ndarray, j: np.ndarray, link: tuple[int, int]) -> np.ndarray:
+        """Whether boxes i and j can hold a pair of points of different components over the threshold."""
+        high, low_n, high_n, low_c, high_c, asked = self.levels[level]
+        ok = (link[1] * low_n[j] <= link[0] * high_n[i]) & (link[1] * low_n[i] <= link[0] * high_n[j]) & (asked[i] | asked[j])
+        ok &= (np.minimum(low_c[i], low_c[j]) != np.maximum(high_c[i], high_c[j]))
+        at = np.flatnonzero(ok)
+        ok[at] = (link[0] + link[1]) * np.minimum(high[i[at]], high[j[at]]).sum(1) >= link[1] * (low_n[i[at]] + low_n[j[at]])
+        return ok
+
+    def leaves(self, link: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of leaves that are left, from the root down."""
+        i = j = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            if level < len(self.levels) - 1:
+                i, j = below(i, j, FANOUT, len(self.levels[level][0]), 0)
+            ok = self.meet(level, i, j, link)
+            i, j = i[ok], j[ok]
+        return i, j
+
+
+def below(i: np.ndarray, j: np.ndarray, width: int, size: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of children of pairs of nodes, each once, the second at least `apart` after the first."""
+    p, q = (x.ravel() for x in np.indices((width, width)))
+    a, b = (i[:, None] * width + p).ravel(), (j[:, None] * width + q).ravel()
+    ok = (b < size) & (a + apart <= b)
+    return a[ok], b[ok]
+
+
 def tree_pairs(points: Points, comp: np.ndarray, link: tuple[int, int], asked: np.ndarray | None = None, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of points of different components that an R-tree of group counts can't rule out: only those with a point
     that `asked` marks, and of two sides, where these are given."""
-    n, v = points.n, points.counts[0][points.at[0]]
-    order = np.lexsort((v[:, 1], v[:, 0], n))
-    m = len(order)
-    cuts = np.arange(0, m, LEAF)
-    high = np.maximum.reduceat(v[order], cuts)
-    low_n, high_n = n[order[cuts]], n[order[np.append(cuts[1:], m) - 1]]  # leaves are filled in order of size
-    leaves = [order[i : i + LEAF] for i in cuts]
-    one = [len(np.unique(comp[x])) == 1 for x in leaves]
-    wanted = np.ones(len(leaves), bool) if asked is None else np.array([asked[x].any() for x in leaves])
-    for i in range(len(leaves)):
-        j = np.arange(i, len(leaves))
-        j = j[(link[1] * low_n[j] <= link[0] * high_n[i]) & (wanted[i] | wanted[j])]
-        j = j[(link[0] + link[1]) * np.minimum(high[i], high[j]).sum(1) >= link[1] * (low_n[i] + low_n[j])]
-        for k in j.tolist():
-            if one[i] and one[k] and comp[leaves[i][0]] == comp[leaves[k][0]]:
-                continue
-            if i == k:
-                p, q = np.triu_indices(len(leaves[i]), 1)
-            else:
-                p, q = (x.ravel() for x in np.indices((len(leaves[i]), len(leaves[k]))))
-            a, b = leaves[i][p], leaves[k][q]
-            ok = comp[a] != comp[b]
-            if asked is not None:
-                ok &= asked[a] | asked[b]
-            if side is not None:
-                ok &= side[a] != side[b]
-            a, b = a[ok], b[ok]
-            ok = points.close(a, b, link)
-            if ok.any():
-                yield a[ok], b[ok]
+    tree = RTree(points, comp, np.ones(len(comp), bool) if asked is None else asked)
+    left, right = tree.leaves(link)
+    for k in range(0, len(left), 256):
+        a, b = (tree.order[x] for x in below(left[k : k + 256], right[k : k + 256], LEAF, len(comp), 1))
+        ok = (comp[a] != comp[b]) & (link[1] * points.n[b] <= link[0] * points.n[a])
+        if asked is not None:
+            ok &= asked[a] | asked[b]
+        if side is not None:
+            ok &= side[a] != side[b]
+        a, b = a[ok], b[ok]
+        ok = points.close(a, b, link)
+        if ok.any():
+            yield a[ok], b[ok]
 
 
 def not_ruled_out(members: DataFrame, shards: int, link: tuple[int, int]) -> DataFrame:
@@ -326,28 +367,49 @@ def in_cells(members: DataFrame) -> DataFrame:
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
 
 
-def all_pairs(members: DataFrame, shards: int, link: tuple[int, int]) -> DataFrame:
-    """Every pair (a, b) of points of different components that the trees leave, of a table (tree, rid, comp, n,
-    vector)."""
+def shared_before(known: np.ndarray, a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
+    """Whether the points of each pair both know of a tree before this one, where the pair is found too."""
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), step := 1 << 14):
+        x, y = known[a[i : i + step]], known[b[i : i + step]]
+        out[i : i + step] = ((x[:, :, None] == y[:, None, :]) & (x < tree)[:, :, None]).any((1, 2))
+    return out
+
+
+def all_pairs(members: DataFrame, fine: DataFrame, shards: int, link: tuple[int, int]) -> DataFrame:
+    """Every pair (a, b) of points of different components that the trees leave, of a table (tree, rid, comp, n), by
+    the vectors (rid, fine)."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("tree", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rid", "ascending")])
         tree, rid, comp, n, i_, j_, block = (rows.column(c).to_numpy() for c in ("tree", "rid", "comp", "n", "i", "j", "block"))
-        points = Points(n, rows.column("vector"))
+        points = Points(n, rows.column("fine"), FINE)
+        known = np.full((len(tree), KNOWN), np.iinfo(np.int64).max)
+        lists = rows.column("known").combine_chunks()
+        lens = lists.value_lengths().to_numpy()
+        known[np.arange(KNOWN) < lens[:, None]] = lists.flatten().to_numpy()
         new = np.ones(len(tree), bool)
         new[1:] = (tree[1:] != tree[:-1]) | (i_[1:] != i_[:-1]) | (j_[1:] != j_[:-1])
         first = np.flatnonzero(new)
         out_a, out_b = [], []
         for i, j in zip(first.tolist(), np.append(first[1:], len(tree)).tolist(), strict=True):
             for a, b in tree_pairs(points.part(np.arange(i, j)), comp[i:j], link, None, block[i:j] if i_[i] != j_[i] else None):
-                out_a.append(a + i)
-                out_b.append(b + i)
+                ok = ~shared_before(known, a + i, b + i, tree[i])
+                out_a.append(a[ok] + i)
+                out_b.append(b[ok] + i)
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(np.minimum(rid[a], rid[b])), "b": pa.array(np.maximum(rid[a], rid[b]))})
-
+        a, b = np.minimum(rid[a], rid[b]), np.maximum(rid[a], rid[b])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        once = np.ones(len(a), bool)
+        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.table({"a": pa.array(a[once]), "b": pa.array(b[once])})
+
+    known = members.groupBy("rid").agg(F.slice(F.array_sort(F.collect_set("tree")), 1, KNOWN).alias("known"))
+    rows = in_cells(members.select("tree", "rid", "comp", "n").join(known.join(fine, "rid"), "rid"))
     # A tree of one block keeps to its shard with others; cells of larger ones are dealt out.
     shard = F.pmod(F.xxhash64("tree", "i", "j"), F.lit(shards)).alias("shard")
-    return in_cells(members).withColumn("shard", shard).groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
 def _keys(ids: pa.Array) -> np.ndarray:
@@ -372,7 +434,7 @@ def id_set(ids: DataFrame, shards: int) -> HashArrays:
 
 
 def sets(docs: DataFrame, reps: DataFrame, size: int, shards: int) -> DataFrame:
-    """(rid, shingles) of the texts in `reps` (rid, doc_id, set), found again in `docs` by their doc_id and digest."""
+    """(rid, shingles, fine) of the texts in `reps` (rid, doc_id, set), found again in `docs` by doc_id and digest."""
     wanted = id_set(reps.select("doc_id"), shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,10 +442,11 @@ def sets(docs: DataFrame, reps: DataFrame, size: int, shards: int) -> DataFrame:
             k, inv = np.unique(_keys(batch.column(0)), return_inverse=True)
             text = batch.column(1).filter(pa.array(wanted.lookup(k)[0][inv]))
             found = [h for _, h in _texts(text, size)]
-            yield pa.record_batch([pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in found], pa.binary()), pa.array([narrow(h >> np.uint64(64 - 8 * WIDTH), WIDTH) for h in found], pa.binary())], names=["set", "shingles"])
+            made = ([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in found], [h.tobytes() for h in found], [vector(h, FINE).tobytes() for h in found])
+            yield pa.record_batch([pa.array(x, pa.binary()) for x in made], names=["set", "shingles", "fine"])
 
-    again = docs.select("doc_id", "text").mapInArrow(run, "set binary, shingles binary")
-    return materialise(again.join(reps.select("rid", "set"), "set").select("rid", "shingles").dropDuplicates(["rid"]), "sets")
+    again = docs.select("doc_id", "text").mapInArrow(run, "set binary, shingles binary, fine binary")
+    return materialise(again.join(reps.select("rid", "set"), "set").select("rid", "shingles", "fine").dropDuplicates(["rid"]), "sets")
 
 
 def verified(pairs: DataFrame, shingle_sets: DataFrame, link: tuple[int, int]) -> DataFrame:
@@ -393,7 +456,7 @@ def verified(pairs: DataFrame, shingle_sets: DataFrame, link: tuple[int, int]) -
         for batch in batches:
             out = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = widen(x.as_py(), WIDTH), widen(y.as_py(), WIDTH)
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(link[0] * both >= link[1] * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
@@ -431,7 +494,10 @@ def classes(docs: DataFrame, size: int = SHINGLE, link: tuple[int, int] = LINK)
             heads_of, largest = largest_heads(at)
             pairs = with_heads(at.join(largest, ["tree", "comp"], "left_anti"), heads_of, link)
         else:
-            pairs = all_pairs(at, shards, link)
+            fine = shingle_sets.select("rid", "fine")
+            at = materialise(at.select("tree", "rid", "comp", "n"), "open")
+            held = at.join(fine, "rid").agg(F.sum(F.length("fine"))).first()[0] or 0
+            pairs = all_pairs(at, fine, max(shards, -(-held // TASK_BYTES)), link)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs, f"pairs{turn}")
