@@ -2,11 +2,13 @@
 of open sequences with that gap becomes smallest.
 
 Null and empty texts are one piece that holds the end id alone. Repeated rows are packed as often as they occur, a
-null doc_id is kept, and other columns are ignored. An empty table gives an empty result."""
+null doc_id is kept, and other columns are ignored. An empty table gives an empty result. Very long texts are cut into
+pieces; one with a long run of white space or without any is given to the full tokenizer, as the quick one can't take it."""
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +25,14 @@ END_ID = 2
 #: Pieces that one task packs; each group leaves a few partly filled sequences.
 GROUP = 16_384
 SPECIAL = "<|endoftext|>"
+#: Runs of white space and words from which on texts go to the full tokenizer.
+LONG_SPACE, LONG_WORD = re.compile(r"\s{200}"), 2000
 _ENCODERS: dict = {}
 
 
 def encoder(json_path: str, ranks_path: str):
     """A function from text to ids. Both files hold one vocabulary; the ranks are the quicker to apply, and the full
-    tokenizer is taken for texts with its special token's string."""
+    tokenizer is taken for texts with its special token's string or with long runs."""
     if json_path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
@@ -40,7 +44,7 @@ def encoder(json_path: str, ranks_path: str):
         full = Tokenizer.from_file(json_path)
 
         def encode(text: str) -> np.ndarray:
-            if SPECIAL in text:
+            if SPECIAL in text or LONG_SPACE.search(text) or max(map(len, text.split()), default=0) >= LONG_WORD:
                 return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
             return np.array(quick.encode_ordinary(text), np.uint32)
 
@@ -70,21 +74,23 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAP
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each length, taken from the longest down. An open sequence is preferred to a new one;
-    among gaps with equal results the smallest is taken."""
+    """(sequence, offset) of each length, taken from the longest down. A new sequence is one more choice, of the gap
+    `capacity`, which counts none; among gaps with equal results the smallest is taken."""
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
     count = np.zeros(capacity + 1, np.int64)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     new = 0
     for i, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
-        gap = capacity
-        have = np.flatnonzero(count[n:])
-        if len(have):
-            have += n
-            after = count[have - n]
-            after[have == n] = -1  # a filled sequence is no longer open
-            gap = int(have[np.argmin(after - count[have])])
+        # What the sum grows by, halved: one less of the gap, one more of what remains of it; a filled one counts none.
+        have = np.append(np.flatnonzero(count[n:capacity]) + n, capacity)
+        grows = count[have - n] - count[have] + 1
+        grows[have == n] = -count[n]
+        grows[-1] = 0 if n == capacity else count[capacity - n]
+        grows[:-1] *= 2
+        grows[-1] = 2 * grows[-1] + (n < capacity)
+        grows[:-1][have[:-1] == n] += 1
+        gap = int(have[np.argmin(grows)])
         if gap == capacity:
             seq, new = new, new + 1
         else:
