@@ -1,15 +1,20 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements without those that never hold an article (scripts, menus, forms and the like, by tag,
-role or class). Every element's density is its characters for each tag, adjusted for the share of links; its density sum
-is the sum of its children's densities (of those that are no mere inline markup, or one bold line would outweigh its
-article). The element of the largest sum and the least density between it and the body
-give the content: going down from the body, each element of at least that density adds the element of the largest sum
-below it. Text outside links and inside is then taken in page order, one line for each block.
-
-Null and empty pages, and pages without such text, give an empty text. Whole pages are read; a tag that the page's end
-cuts off is dropped. Repeated rows give repeated results; other columns are ignored; an empty table gives an empty
-result."""
+A page becomes a tree of its elements, menus, adverts and footers included. Every element's density is its characters for
+each tag, adjusted for the share of links; its density sum is the sum of its children's densities (of those that are no
+mere inline markup, or one bold line would outweigh its article). The element of the largest sum is the article's body,
+and the least density on its path up to the body element is the threshold:
+- An element beside that path joins the text if its density reaches the threshold and its own sum a share (`PART`) of the
+  largest; so do headings and paragraphs beside the chosen element, unless they stand in the body element itself.
+- Inside the chosen element, blocks below the threshold that are links for the greater part go, and so do blocks with a
+  class or id that names what articles are not, if their sum is below that share.
+HTML fixes the meaning of some tags: menus, footers, asides, forms and the like never hold the text, and where the chosen
+element is inside an `article` or `main`, or around the page's only one, that is chosen in its place.
+Text inside is taken in page order, one line for each block.
+
+Null and empty pages, and pages without such text, give an empty text. Whole pages are read, in one pass however long or
+broken they are; a tag that the page's end cuts off is dropped with what follows it. Repeated rows give repeated results;
+other columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -33,116 +38,143 @@ BLOCK = set(
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"table", "ul", "ol", "dl", "select", "div", "article", "section", "body", "html", "main"}
-#: Elements left out, by tag, by role, and by a word of their class or id.
+#: Elements that hold no article, by tag and by role, and words of a class or id that name such.
 NO_TAG = RAW | set("head nav footer aside form button select menu svg canvas object audio video dialog header".split())
 NO_ROLE = set("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
-NO_WORD = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
-    "comment comments disqus cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup share sharing social related recommended widget pagination login".split()
-)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-CUT_TAG = re.compile(r"</?[a-zA-Z][^>]*\Z")
+NO_WORD = set("ad ads advert adverts advertisement sponsor sponsored sidebar menu navbar navigation breadcrumbs comment comments cookie cookies notice newsletter".split())
+#: Share of the largest density sum that other parts must reach.
+PART = 0.3
+HEADS = set("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure".split())
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 BREAK = object()
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "out", "parent", "parts", "sum", "tag", "tags")
+    """An element. `off` are those that HTML itself or the page hides or sets apart, with all below them; `gone` those
+    whose text is no text at all; `named` those whose class or id names no article."""
 
-    def __init__(self, tag: str, parent: Node | None, out: bool) -> None:
-        self.tag, self.parent, self.out = tag, parent, out
+    __slots__ = ("block", "chars", "children", "density", "gone", "item", "link_chars", "link_tags", "named", "off", "parent", "parts", "sum", "tag", "tags", "within")
+
+    def __init__(self, tag: str, parent: Node | None) -> None:
+        self.tag, self.parent = tag, parent
         self.children: list[Node] = []
         self.parts: list = []  # text and child elements in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
-
-
-def unwanted(tag: str, attributes: str, parent: Node) -> bool:
-    inside = None
-    if tag in NO_TAG:
-        if tag != "header":
-            return True
-        inside = _inside(parent)
-        if not inside:
-            return True
-    if "=" not in attributes:
-        return "hidden" in attributes.lower().split()
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = set(re.split(r"[^a-z0-9]+", value)) & NO_WORD
-            if words and not (words <= {"header", "banner"} and (_inside(parent) if inside is None else inside)):
-                return True
-        elif (name == "role" and value in NO_ROLE) or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
-
-
-def _inside(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+        self.block = self if tag in BLOCK or parent is None else parent.block  # the nearest block, item or scope
+        self.item = self if tag in CLOSES or tag in SCOPE or parent is None else parent.item
+        self.within = tag in ("article", "main") or (parent is not None and parent.within)
+        self.off = parent is not None and parent.off
+        self.gone = tag in RAW or tag == "head" or (parent is not None and parent.gone)
+        self.named = False
+
+    def mark(self, attributes: str) -> None:
+        if self.tag in NO_TAG and not (self.tag == "header" and self.within):
+            self.off = True
+        if "=" not in attributes:
+            self.off |= "hidden" in attributes.lower().split()
+            return
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), (a or b or c).lower()
+            if name in ("class", "id") and self.tag not in ("article", "main"):
+                self.named |= not NO_WORD.isdisjoint(re.split(r"[^a-z0-9]+", value))
+            elif (name == "role" and value in NO_ROLE) or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
+                self.off = True
 
 
 def parse(page: str) -> Node:
-    """The tree of a page. Elements that are left out stay as nodes without text, so that their end tags match."""
-    root = now = Node("body", None, False)
-
-    def text(a: int, b: int) -> None:
-        if a < b and not now.out:
-            piece = page[a:b]
+    """The tree of a page, in one pass: what an open quote or tag swallows is found once."""
+    root = now = Node("body", None)
+    counts: dict[str, int] = {}
+    lower = None  # the page in lower case, for the ends of raw elements
+    quotes = True
+    at, text_from, size = 0, 0, len(page)
+
+    def text(to: int) -> None:
+        if text_from < to and not now.gone:
+            piece = page[text_from:to]
             now.parts.append(html.unescape(piece) if "&" in piece else piece)
 
-    at = 0
+    def leave(node: Node) -> Node:
+        """Close all down to `node` and that; the element around it."""
+        x = now
+        while x is not node:
+            counts[x.tag] -= 1
+            x = x.parent
+        counts[node.tag] -= 1
+        return node.parent
+
     while True:
-        found = TOKEN.search(page, at)
-        if found is None:
-            cut = CUT_TAG.search(page, at)
-            text(at, cut.start() if cut else len(page))
+        start = page.find("<", at)
+        if start < 0:
+            text(size)
             return root
-        text(at, found.start())
-        at, tag = found.end(), (found[2] or "").lower()
-        if not tag:
+        at = start + 1
+        if page.startswith("!--", at):
+            text(start)
+            end = page.find("-->", at + 3)
+            at = text_from = end + 3 if end >= 0 else size
+            continue
+        if at < size and page[at] in "!?":
+            text(start)
+            end = page.find(">", at)
+            at = text_from = end + 1 if end >= 0 else size
             continue
-        if found[1]:
-            node = now
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                now = node.parent
+        closing = page.startswith("/", at)
+        name = NAME.match(page, at + closing)
+        if name is None:
+            continue  # a mere sign
+        text(start)
+        rest = REST.match(page, name.end()) if quotes else None
+        if rest is None:
+            quotes = False  # some quote is never closed: from here on tags end at their first sign
+            end = page.find(">", name.end())
+            if end < 0:
+                return root
+            attributes, at = page[name.end() : end], end + 1
+        else:
+            attributes, at = page[name.end() : rest.end() - 1], rest.end()
+        text_from, tag = at, name[0].lower()
+        if closing:
+            if counts.get(tag):
+                node = now
+                while node.tag != tag:
+                    node = node.parent
+                now = leave(node)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCK:
-            node = now
-            while node is not root and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                now = node.parent
+        if tag in BLOCK and now.block.tag == "p":
+            now = leave(now.block)
         if tag in CLOSES:
-            node = now
+            node = now.item
             while node is not root and node.tag not in SCOPE and node.tag not in CLOSES[tag]:
-                node = node.parent
+                node = node.parent.item
             if node.tag in CLOSES[tag]:
-                now = node.parent
+                now = leave(node)
                 if tag == "tr" and now.tag == "tr":
-                    now = now.parent
+                    now = leave(now)
         if tag in VOID:
             now.tags += 1
-            if tag in ("br", "hr") and not now.out:
+            if tag in ("br", "hr"):
                 now.parts.append(BREAK)
             continue
-        child = Node(tag, now, now.out or unwanted(tag, found[3], now))
-        if not child.out:
-            now.children.append(child)
-            now.parts.append(child)
+        child = Node(tag, now)
+        child.mark(attributes)
+        now.children.append(child)
+        now.parts.append(child)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-        elif not found[3].endswith("/"):
+            lower = page.lower() if lower is None else lower
+            if len(lower) != size:  # some letters grow in lower case
+                lower = page
+            end = lower.find(f"</{tag}", at)
+            end = page.find(">", end) if end >= 0 else -1
+            at = text_from = end + 1 if end >= 0 else size
+        elif not attributes.endswith("/"):
             now = child
+            counts[tag] = counts.get(tag, 0) + 1
 
 
 def in_order(root: Node) -> list[Node]:
@@ -177,21 +209,44 @@ def measure(nodes: list[Node]) -> None:
         node.sum = sum(x.density for x in node.children if x.tag not in INLINE)
 
 
-def content(nodes: list[Node]) -> set[int]:
-    """The ids of the elements whose text is the page's main text."""
+def largest(nodes: list[Node]) -> dict[int, Node]:
+    """The element of the largest sum in each element, the outermost on ties; those set apart are passed over."""
     best: dict[int, Node] = {}
-    for node in reversed(nodes):  # the largest sum below each element, the outermost on ties
+    for node in reversed(nodes):
         top = node
         for child in node.children:
-            if best[id(child)].sum > top.sum:
+            if not child.off and best[id(child)].sum > top.sum:
                 top = best[id(child)]
         best[id(node)] = top
-    node = best[id(nodes[0])]
-    least = node.density
+    return best
+
+
+def content(nodes: list[Node]) -> tuple[set[int], Node, float]:
+    """The ids of the elements whose text is the page's main text; the chosen one and the threshold."""
+    best = largest(nodes)
+    body = nodes[0]
+    chosen = best[id(body)]
+    most, least, path, node = chosen.sum, chosen.density, [], chosen
+    tops = [x for x in nodes if x.tag in ("article", "main") and not x.off and x.chars and not x.parent.within]
     while node is not None:
         least = min(least, node.density)
+        path.append(node)
         node = node.parent
-    return {id(best[id(x)]) for x in nodes if x.density >= least and x.chars}
+    if chosen.within:
+        chosen = next(x for x in path if x.tag in ("article", "main") and not x.parent.within)
+    elif len(tops) == 1 and chosen.tag == "body":
+        chosen = tops[0]
+    taken, child = {id(chosen)}, chosen
+    while not chosen.within and child.parent is not None:
+        near = child.parent
+        for x in near.children:
+            if x is child or x.off or x.named or not x.chars:
+                continue
+            part = x.density >= least and best[id(x)].sum >= PART * most
+            if part or (x.tag in HEADS and near is not body and near is chosen.parent and x.density >= least):
+                taken.add(id(best[id(x)]) if part else id(x))
+        child = near
+    return taken, chosen, least
 
 
 def main_text(page: str | None) -> str:
@@ -200,7 +255,8 @@ def main_text(page: str | None) -> str:
     measure(nodes)
     if not root.chars:
         return ""
-    chosen = content(nodes)
+    chosen, top, least = content(nodes)
+    best = max(x.sum for x in nodes)
     lines: list[list[str]] = [[]]
     stack: list = [(root, False)]
     while stack:
@@ -210,9 +266,15 @@ def main_text(page: str | None) -> str:
         elif isinstance(item, str):
             if taken:
                 lines[-1].append(item)
-        else:
+        elif not item.off:
+            block = item.tag in BLOCK
+            if taken and block and item is not top:
+                links = item.density < least and 2 * item.link_chars > item.chars
+                if links or (item.named and item.sum < PART * best):
+                    lines.append([])
+                    continue
             taken = taken or id(item) in chosen
-            if item.tag in BLOCK:
+            if block:
                 lines.append([])
                 stack.append((BREAK, taken))
             stack.extend((x, taken) for x in reversed(item.parts))
