@@ -14,6 +14,8 @@ result."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -39,7 +41,7 @@ LOOSE = {
 }
 #: Texts without these hold no match.
 NEEDS = {"email": r"@|\([aA][tT]\)|\[[aA][tT]\]|\s[dD][oO][tT]\s", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
-#: Words that announce a kind, at most 24 characters before it.
+#: Words that announce a kind, at most 25 characters before it.
 CUE = {
     "email": r"(?i)(?:mail|contact|kontakt|contacto|write|reach|schreib|correo|courriel|[ée]cri)",
     "ip": r"(?i)(?:host|server|servidor|serveur|addr|adress|direcci|\bip\b)",
@@ -48,22 +50,51 @@ CUE = {
 }
 PRECISION = 0.95
 TREES, DEPTH = 10, 3
-SPAN = "array<struct<s:int,e:int,t:string>>"
+SPAN = "array<struct<s:int,e:int,t:string,w:string,a:string>>"
 FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "digits", "letters", "marks", "check", "octets", "at", "bracket", "plus", "before", "after", "cue"]
 
 
+#: Signs set around matches, and what stands for them in a text that holds them: no pattern matches any of them.
+OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
+#: Matches whose places are summed up together: running sums cost the matches times this, not their square.
+CHUNK = 64
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it, also in functions of its own."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """The matches as (s, e, t): gaps between matches and matches themselves give the offsets."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("p"), F.expr(f"cast(array() as {SPAN})").alias("o"))
+    """The matches as (s, e, t, w, a): places, text, up to 25 characters before, as far as the last match reaches, and the
+    one after. One pass of the pattern sets signs around its matches; the pieces between the signs give all of it, so
+    that nothing counts through the text for each match."""
+    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, OTHER + OTHER), F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
+    none = F.expr("cast(array() as array<int>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["p"] + x["g"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("p"), F.concat(acc["o"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t")))).alias("o"))
+    def before(sizes: Column, first: Column) -> Column:
+        """Running sums, each without its own."""
+        step = lambda acc, n: F.struct((acc["p"] + n).alias("p"), F.concat(acc["o"], F.array(acc["p"])).alias("o"))
+        return F.aggregate(sizes, F.struct(first.alias("p"), none.alias("o")), step, lambda acc: acc["o"])
+
+    def described(x: Column, last: Column) -> Column:
+        t = F.substring_index(x, CLOSE, 1)
+        return F.struct((F.length(x) - 1).alias("n"), t.alias("t"), F.right(F.translate(last, CLOSE, ""), F.lit(25)).alias("w"), F.left(F.substring_index(x, CLOSE, -1), F.lit(1)).alias("a"))
+
+    def in_chunks(pieces: Column) -> Column:
+        more = F.size(pieces) - 1
+        found = F.zip_with(F.slice(pieces, F.lit(2), more), F.slice(pieces, F.lit(1), more), described)
+        count = F.ceil(more / CHUNK).cast("int")
+        at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(none)
+        return let(found, lambda f: F.transform(at, lambda k: F.slice(f, k * CHUNK + 1, F.lit(CHUNK))))
+
+    def placed(pieces: Column, chunks: Column) -> Column:
+        size = lambda c: F.aggregate(c, F.lit(0), lambda m, x: m + x["n"])
+        starts = before(F.transform(chunks, size), F.length(F.get(pieces, F.lit(0))))
+        span = lambda x, s: F.struct(s.alias("s"), (s + F.length(x["t"])).alias("e"), x["t"].alias("t"), x["w"].alias("w"), x["a"].alias("a"))
+        return F.flatten(F.zip_with(chunks, starts, lambda c, s: F.zip_with(c, before(F.transform(c, lambda x: x["n"]), s), span)))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["o"])
+    return let(F.split(marked, OPEN), lambda pieces: let(in_chunks(pieces), lambda chunks: placed(pieces, chunks)))
 
 
 def digits(t: Column) -> Column:
@@ -120,9 +151,9 @@ def proposals(text: Column, kind: str) -> Column:
             x["t"].contains("@").cast("int").alias("at"),
             x["t"].rlike(r"[(\[]").cast("int").alias("bracket"),
             x["t"].startswith("+").cast("int").alias("plus"),
-            kind_of(F.when(x["s"] == 0, "").otherwise(F.substring(text, x["s"], F.lit(1)))).alias("before"),
-            kind_of(F.substring(text, x["e"] + 1, F.lit(1))).alias("after"),
-            F.substring(text, F.greatest(x["s"] - 24, F.lit(1)), F.least(x["s"], F.lit(25))).rlike(CUE[kind]).cast("int").alias("cue"),
+            kind_of(F.right(x["w"], F.lit(1))).alias("before"),
+            kind_of(x["a"]).alias("after"),
+            x["w"].rlike(CUE[kind]).cast("int").alias("cue"),
         )
 
     return F.transform(F.when(text.rlike(NEEDS[kind]), spans(text, LOOSE[kind])).otherwise(none), described)
