@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,34 +28,47 @@ def shared_dir(spark: SparkSession) -> str:
         where = spark.sparkContext.getCheckpointDir()
         where = os.path.dirname(where) if where else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(where)
     return where if "://" in where or where.startswith("file:") else "file://" + os.path.abspath(where)
 
 
-#: Folders of working tables that `release` may drop.
-_WORKING: list[str] = []
+#: Folders of working tables by whom they were made for; those of no owner stay until the driver's JVM ends.
+_WORKING: dict[str, list[str]] = {}
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Working tables made inside belong to `owner`, who may `release` them."""
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
 
 
 def new_folder(spark: SparkSession, what: str, working: bool = True) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends, or by `release` if it is a working one."""
+    """A fresh path in the shared folder, removed when the driver's JVM ends, or by its owner's `release` if it is a
+    working one."""
     uri = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
-    if working:
-        _WORKING.append(uri)
+    if working and _OWNER.get() is not None:
+        _WORKING.setdefault(_OWNER.get(), []).append(uri)
     return uri
 
 
-def release(spark: SparkSession) -> None:
-    """Drop all working tables made so far: only once the results that read them are written."""
-    for uri in _WORKING:
+def release(spark: SparkSession, owner: str) -> None:
+    """Drop the working tables of an owner, and no others: only once the results that read them are written."""
+    for uri in _WORKING.pop(owner, []):
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _WORKING.clear()
 
 
 def materialise(df: DataFrame, what: str = "table", working: bool = True) -> DataFrame:
@@ -101,15 +117,15 @@ def get(uri: str) -> bytes:
 
 
 def mapped(uri: str, dtype) -> np.ndarray:
-    """An array file as a read-only memory map; a remote file is first copied to the worker's own disk."""
+    """An array file as a read-only memory map. A remote file is first copied to the worker's own disk; the copy has no
+    name any more once it is mapped, so that nothing is left behind."""
     path = local_path(uri)
-    if path is None:
-        path = os.path.join(tempfile.gettempdir(), uri.replace("/", "_").replace(":", "_"))
-        if not os.path.exists(path):
-            own = f"{path}.{uuid.uuid4().hex}"
-            with open(own, "wb") as f:
-                f.write(get(uri))
-            os.replace(own, path)
-    if os.path.getsize(path) == 0:
+    if path is not None:
+        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
+    data = get(uri)
+    if not data:
         return np.empty(0, dtype)
-    return np.memmap(path, dtype=dtype, mode="r")
+    with tempfile.TemporaryFile() as f:
+        f.write(data)
+        f.flush()
+        return np.memmap(f, dtype=dtype, mode="r")

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumweave.llm.common import materialise, table
@@ -184,20 +184,27 @@ def fitted(found: DataFrame):
     return model, thresholds
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """The columns of `docs` with base (kind to spans), added (kind, s, e) and all spans as `found` (kind, s, e)."""
+def overlapping(found: DataFrame, bases: DataFrame) -> DataFrame:
+    """Proposals with `over`: whether a base span (rid, kind, s, e) of their kind and text overlaps them."""
+    both = found.withColumn("is_base", F.lit(False)).unionByName(bases.withColumn("is_base", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy("rid", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last, next_ = F.max(F.when(F.col("is_base"), F.col("e"))).over(w.orderBy("s")), F.min(F.when(F.col("is_base"), F.col("s"))).over(w.orderBy(F.desc("s")))
+    over = F.coalesce(last > F.col("s"), F.lit(False)) | F.coalesce(next_ < F.col("e"), F.lit(False))
+    return both.withColumn("over", over).where("NOT is_base").drop("is_base")
+
+
+def _detected(docs: DataFrame) -> DataFrame:
+    """What `detect` returns, with a number `rid` for each row."""
     names = [c for c in docs.columns if c not in ("base", "added", "found", "rid", "proposed")]
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     rows = docs.select(*names).withColumn("base", F.struct(*(bare(base_spans(text, k)).alias(k) for k in KINDS)))
     rows = rows.withColumn("proposed", F.concat(*(proposals(text, k) for k in KINDS))).withColumn("rid", F.monotonically_increasing_id())
     rows = materialise(rows, "spans")
-    found = rows.where(F.size("proposed") > 0).select("rid", "base", F.explode("proposed").alias("x")).select("rid", "base", "x.*")
-    over = lambda k: F.exists(F.col("base")[k], lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
-    strict = F.lit(False)
-    for k in KINDS:
-        strict = F.when(F.col("kind") == k, over(k)).otherwise(strict)
-    found = found.withColumn("over", strict).withColumn("right", F.col("over") | plausible()).withColumn("kept_out", F.pmod(F.xxhash64("rid"), F.lit(5)) == 0).drop("base")
+    found = rows.where(F.size("proposed") > 0).select("rid", F.explode("proposed").alias("x")).select("rid", "x.*")
+    bases = rows.select("rid", F.explode(F.concat(*map(named, KINDS))).alias("x")).select("rid", "x.*")
+    found = overlapping(found, bases)
+    found = found.withColumn("right", F.col("over") | plausible()).withColumn("kept_out", F.pmod(F.xxhash64("rid"), F.lit(5)) == 0)
     fit = fitted(found)
     none = "cast(array() as array<struct<kind:string,s:int,e:int>>)"
     if fit is None or not fit[1]:
@@ -213,7 +220,12 @@ def detect(docs: DataFrame) -> DataFrame:
     every = []
     for k in KINDS:
         every.append(F.array_sort(F.concat(named(k), F.filter("added", _of_kind(k)))))
-    return rows.withColumn("found", F.concat(*every)).select(*names, "base", "added", "found")
+    return rows.withColumn("found", F.concat(*every)).select(*names, "rid", "base", "added", "found")
+
+
+def detect(docs: DataFrame) -> DataFrame:
+    """The columns of `docs` with base (kind to spans), added (kind, s, e) and all spans as `found` (kind, s, e)."""
+    return _detected(docs).drop("rid")
 
 
 def named(kind: str) -> Column:
@@ -237,21 +249,39 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *(F.size(F.col("base")[k]).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+def joined(spans_: DataFrame) -> DataFrame:
+    """(rid, marks): a text's spans (rid, kind, s, e) in order, those that begin inside earlier ones made one with them
+    under the kind of the first."""
+    w = Window.partitionBy("rid").orderBy("s", "e", "kind")
+    reach = F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = spans_.withColumn("first", F.col("s") >= reach).withColumn("turn", F.sum(F.col("first").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    one = rows.groupBy("rid", "turn").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max(F.when(F.col("first"), F.col("kind"))).alias("kind"))
+    return one.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind"))).alias("marks"))
+
+
+def marked(text: Column, marks: Column) -> Column:
+    """`text` with every mark's place taken by its kind, `CHUNK` marks of a stretch at a time."""
+    def stretch(part: Column, first: Column) -> Column:
+        own = F.substring(text, first + 1, F.element_at(part, -1)["e"] - first)
+        step = lambda acc, x: F.struct(
+            x["e"].alias("p"), F.concat(acc["o"], F.substring(acc["t"], acc["p"] - first + 1, x["s"] - acc["p"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("o"), acc["t"].alias("t")
+        )
+        return F.aggregate(part, F.struct(first.alias("p"), F.lit("").alias("o"), own.alias("t")), step, lambda acc: acc["o"])
+
+    at = F.sequence(F.lit(0), F.ceil(F.size(marks) / CHUNK).cast("int") - 1)
+    first = lambda k: F.coalesce(F.get(marks, k * CHUNK - 1)["e"], F.lit(0))
+    parts = F.transform(at, lambda k: stretch(F.slice(marks, k * CHUNK + 1, F.lit(CHUNK)), first(k)))
+    return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(marks, -1)["e"] + 1, F.length(text)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span of `text` replaced by its kind in brackets; overlapping spans become one. n_chars, where
     there is one, is counted anew."""
-    rows = detect(docs)
-    in_order = F.array_sort(F.transform("found", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("p"), F.lit("").alias("o"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["p"] + 1, F.greatest(x["s"] - acc["p"], F.lit(0)))
-        mark = F.when(x["s"] >= acc["p"], F.concat(gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.concat(acc["o"], mark).alias("o"))
-
-    done = F.aggregate(in_order, start, step, lambda acc: F.concat(acc["o"], F.substring(text, acc["p"] + 1, F.length(text))))
-    rows = rows.withColumn("text", F.when(F.size("found") > 0, done).otherwise(text)).drop("base", "added", "found")
+    rows = _detected(docs)  # its rows and their numbers are written
+    marks = joined(rows.select("rid", F.explode("found").alias("x")).select("rid", "x.kind", "x.s", "x.e"))
+    marks = marks.select("rid", F.col("marks").alias("found"))
+    rows = rows.drop("base", "added", "found").join(marks, "rid", "left").drop("rid")
+    rows = rows.withColumn("text", F.when(F.col("found").isNotNull(), marked(F.col("text"), F.col("found"))).otherwise(F.col("text"))).drop("found")
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in rows.columns else rows
 
 

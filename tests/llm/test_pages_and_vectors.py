@@ -126,3 +126,98 @@ def test_top_k_of_a_query_repeated_in_a_tight_group(spark):
     rows = [(0, [10.0, 0.0])] * 20 + [(i, [1.0, i / 10]) for i in range(1, 31)] + [(i, [2.0, i / 10]) for i in range(31, 36)]
     got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, k + 1, 31 + k) for k in range(5)]
+
+
+def test_search_visits_only_groups_that_can_matter(spark):
+    """Tight, well separated groups: queries go to few of them beyond their own, and the result is exact."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 8)) * 20
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 40] + rng.normal(size=8) * 0.2]) for i in range(2000)]
+    out, visits = knn.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
+    got = collections.defaultdict(list)
+    for r in out.collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert {k: sorted(v) for k, v in got.items()} == brute(rows)
+    homes = len({i % 40 for i in range(0, 2000, 50)})
+    assert visits.count() < 0.6 * homes * 44
+
+
+def test_bounds_hold():
+    """Every true score lies under its group's bound, and the k-th true score over the promised one."""
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(400, 6)) * 50 + rng.normal(size=(8, 6))[np.arange(400) % 8] * 300).astype(np.int64)
+    p = x[:12].astype(np.float64)
+    d = np.sqrt(((x[:, None] - p) ** 2).sum(2))
+    cell = d.argmin(1)
+    far = d[np.arange(400), cell]
+    Row = collections.namedtuple("Row", "cell near far norm n own")
+    g = knn.Groups(p, [Row(c, far[cell == c].min(), far[cell == c].max(), np.sqrt((x[cell == c] ** 2).sum(1)).max(), int((cell == c).sum()), 0) for c in set(cell.tolist())])
+    for home in range(12):
+        q = x[cell == home]
+        high, least = g.bounds(q, home, 5)
+        s = q @ x.T
+        assert all((s[:, cell == c] <= high[:, [c]]).all() for c in set(cell.tolist()))
+        assert (np.sort(s, 1)[:, -5] >= least).all()
+
+
+def density_by_hand(page):
+    """Composite text density of every element, from its definition, on trees written as (tag, children)."""
+    out = []
+
+    def count(node):
+        if isinstance(node, str):
+            return len("".join(node.split())), 0, 0, 0
+        c = t = lc = lt = 0
+        for x in node[1]:
+            a, b, d, e = count(x)
+            inside = not isinstance(x, str)
+            c, t, lc, lt = c + a, t + b + inside, lc + d, lt + e
+        return (c, t, c, t + 1) if node[0] == "a" else (c, t, lc, lt)
+
+    total = count(page)
+
+    def walk(node):
+        c, t, lc, lt = count(node)
+        t, lc1, lt1 = max(t, 1), max(lc, 1), max(lt, 1)
+        base = np.log(c / max(c - lc, 1) * lc + total[2] / max(total[0], 1) * c + np.e) if c else 1.0
+        own = c / t * np.log(max(c / lc1 * t / lt1, 1.0)) / np.log(max(base, 1.0) + 1.0) if c else 0.0
+        kids = [walk(x) for x in node[1] if not isinstance(x, str)]
+        out.append((node[0], own, sum(d for tag, d in kids if tag not in html.INLINE)))
+        return node[0], own
+
+    walk(page)
+    return out
+
+
+def markup(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(markup, node[1]))}</{node[0]}>"
+
+
+def test_densities_equal_their_definition():
+    words = "some words of plain text in a row that goes on "
+    links = ("ul", [("li", [("a", ["one link"])]), ("li", [("a", ["another link"])])])
+    page = ("body", [links, ("div", ["An advert without any link."]), ("div", [("h2", ["Head"]), ("p", [words * 3, ("b", ["bold"])]), ("p", [words * 2, ("a", ["a link"])]), ("section", [("p", [words * 4])])]), ("div", [words])])
+    nodes = html.in_order(html.parse(markup(page)[6:-7]))
+    html.measure(nodes)
+    got = sorted((x.tag, round(x.density, 9), round(x.sum, 9)) for x in nodes)
+    assert got == sorted((t, round(float(d), 9), round(float(s), 9)) for t, d, s in density_by_hand(page))
+    chosen, top, least = html.content(nodes)
+    assert top.tag == "div" and top.sum == max(x.sum for x in nodes) and least == min(x.density for x in (top, nodes[0]))
+
+
+def test_density_decides_where_tags_do_not():
+    """No article tag, no telling class: the advert, the menu and the footer go by density alone, and a section with a
+    misleading class stays."""
+    p = "<p>A sentence of the article that is long enough to matter, and then some more.</p>"
+    page = f"<div><a href=a>Home</a> <a href=b>More</a></div><div>Buy this now, friend.</div><div><h1>Title</h1>{p}<div class='notice'><h2>Note</h2>{p}{p}{p}</div>{p}{p}<div><a href=x>See</a> <a href=y>also</a></div></div><div>All rights kept.</div>"
+    text = "A sentence of the article that is long enough to matter, and then some more."
+    assert html.main_text(page) == "\n".join(["Title", text, "Note", text, text, text, text, text])
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<div>", "</x>", "<b><p>", "<li>", "<header>", "<a href='>", "<!--", "<script>", "<td><tr>", "<"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    html.main_text(piece * 60_000 + "<p>end")
+    assert time.process_time() - start < 20
