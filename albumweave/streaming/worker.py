@@ -1,24 +1,34 @@
-"""The worker as a stream: message files in, state tables per event and results out, each batch repeatable.
+"""The worker as a stream: message files in, state tables per event and results out.
 
 Order inside a batch: state first, then results, then the offsets (by Spark, when the batch function returns). A batch
-that is run again writes the same events again and replaces its own results, so every message takes effect once.
+that is run again finds its photos stored and its corrections made, writes the same state and replaces its own results,
+so every message takes effect once.
 
-Corrections (cluster_feedback) are not applied yet: they are answered `failed`, so that the sender knows."""
+Messages of one event are taken in order of files and lines: a batch is worked off in turns of at most one message for
+each event, all events side by side. A batch that fails is tried again when the stream is started again (`keep_running`
+does so); at its last attempt events are taken one by one, so that those that can't be done are answered `failed`, and
+their messages are kept with the dead letters, while all others are done."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from albumweave.operators import feedback, messages
+from albumweave.operators import jobs, messages
 from albumweave.operators.graph import settled
 from albumweave.sources import events
 
+ATTEMPTS = 3
+NONHUMAN = "event_id string, face_id string"
+
 
 def inbox(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
     """Lines of new files, `per_batch` files a time."""
-    return spark.readStream.option("maxFilesPerTrigger", per_batch).text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
+    return spark.readStream.option("maxFilesPerTrigger", per_batch).text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
 
 
 def progress(ticks: DataFrame) -> DataFrame:
@@ -26,36 +36,97 @@ def progress(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("job_id").agg(F.max("processed").alias("processed"), F.max("total").alias("total"))
 
 
-def applied(spark: SparkSession, batch: DataFrame, state: str, extract) -> DataFrame:
-    """Bring the batch's events up to date and return a result row for each message. `extract` turns rows (event_id,
-    image_id, s3_key) into face rows without row_ix. Photos that are stored are not extracted again."""
-    rows = messages.parsed(batch).persist()
-    good = rows.where("message IS NOT NULL").select("message.*")
+def stored(spark: SparkSession, state: str) -> jobs.State:
+    nonhuman = spark.createDataFrame([], NONHUMAN).schema
+    return jobs.State(events.read(spark, f"{state}/faces"), events.read(spark, f"{state}/links", events.CONSTRAINTS), events.read(spark, f"{state}/nonhuman", nonhuman))
+
+
+def _of(state: jobs.State, touched: DataFrame) -> jobs.State:
+    return jobs.State(*(settled(x.join(touched, "event_id", "left_semi").select(*x.columns)) for x in (state.faces, state.links, state.nonhuman)))
+
+
+def keep(spark: SparkSession, path: str, now: jobs.State, touched: DataFrame) -> None:
+    """Put an event's state in place of the one before, and drop what is empty now."""
+    for name in ("links", "nonhuman", "faces"):
+        df = getattr(now, name)
+        events.overwrite(df, f"{path}/{name}")
+        # A batch's events at most.
+        events.remove(spark, f"{path}/{name}", [r.event_id for r in touched.join(df.select("event_id").distinct(), "event_id", "left_anti").collect()])
+
+
+def numbered(batch: DataFrame) -> DataFrame:
+    """Parsed messages with their `turn` in their event: in order of file and line."""
+    at = [c for c in ("file", "at") if c in batch.columns]
+    rows = settled(messages.parsed(batch.withColumn("line", F.monotonically_increasing_id())))
+    order = Window.partitionBy(F.col("message.event_id"), F.col("message").isNull()).orderBy(*at, "line")
+    return rows.withColumn("turn", F.row_number().over(order))
+
+
+def applied(spark: SparkSession, rows: DataFrame, state: str, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Bring the events of numbered messages up to date and return a result row for each message."""
+    good = settled(rows.where("message IS NOT NULL").select("turn", "message.*"))
     touched = good.select("event_id").distinct()
-    stored = events.read(spark, state).join(touched, "event_id", "left_semi")
-    asked = good.where("type = 'classify_request'").select("event_id", F.explode("images").alias("i")).select("event_id", "i.image_id", "i.s3_key").distinct()
-    new = asked.join(stored.select("event_id", F.col("photo_id").alias("image_id")).distinct(), ["event_id", "image_id"], "left_anti")
-    gone = good.where("type = 'delete_request'").select("event_id", F.explode("image_ids").alias("photo_id"))
-    now = feedback.without_photos(feedback.appended(stored, extract(new)), gone).select(*events.FACES.fieldNames())
-    before = stored.select("event_id").distinct()
-    now = settled(now)  # cut from the files that are about to be overwritten
-    emptied = [r.event_id for r in before.join(now.select("event_id").distinct(), "event_id", "left_anti").collect()]  # a batch's events
-    events.overwrite(now, state)
-    events.remove(spark, state, emptied)
-    done = rows.where("message IS NOT NULL").select("job_id", "message.type", "message.event_id")
-    status = F.when(F.col("type") == "cluster_feedback", "failed").otherwise("succeeded")
-    out = done.select("job_id", "event_id", status.alias("status"))
-    poison = rows.where("message IS NULL AND job_id IS NOT NULL").select("job_id", F.lit(None).cast("string").alias("event_id"), F.lit("failed").alias("status"))
-    return out.unionByName(poison).dropDuplicates(["job_id"])
-
-
-def start(source: DataFrame, state: str, results: str, quarantine: str, checkpoint: str, extract, once: bool = True) -> StreamingQuery:
+    now, out = _of(stored(spark, state), touched), None
+    for turn in range(1, (good.agg(F.max("turn")).first()[0] or 0) + 1):
+        own = good.where(F.col("turn") == turn)
+        rest = own.select("event_id")
+        mine, others = _of(now, rest), (now.faces, now.links, now.nonhuman)
+        mine, result = jobs.done(mine, own.drop("turn"), extract)
+        out = result if out is None else out.unionByName(result)
+        now = jobs.State(*(settled(x.join(rest, "event_id", "left_anti").select(*x.columns).unionByName(y)) for x, y in zip(others, (mine.faces, mine.links, mine.nonhuman), strict=True)))
+    keep(spark, state, now, touched)
+    poison = rows.where("message IS NULL AND job_id IS NOT NULL").select("job_id", F.lit("failed").alias("status"))
+    return poison if out is None else out.unionByName(poison, allowMissingColumns=True)
+
+
+def one_by_one(spark: SparkSession, rows: DataFrame, state: str, extract: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """As `applied`, event by event; an event that fails is answered so and left as it is. (results, failed events)"""
+    out = applied(spark, rows.where("message IS NULL"), state, extract)
+    failed = []
+    for r in rows.where("message IS NOT NULL").select("message.event_id").distinct().collect():  # a batch's events
+        own = rows.where(F.col("message.event_id") == r.event_id)
+        try:
+            out = out.unionByName(applied(spark, own, state, extract), allowMissingColumns=True)
+        except Exception:  # noqa: BLE001  whatever it is, it has failed ATTEMPTS times
+            failed.append(r.event_id)
+            out = out.unionByName(own.select("message.job_id", "message.event_id", F.lit("failed").alias("status")), allowMissingColumns=True)
+    return out, failed
+
+
+def _attempt(spark: SparkSession, folder: str) -> int:
+    """Which attempt this is, by the marks that earlier ones left."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    n = len(fs.listStatus(path)) + 1
+    fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, str(n)), True).close()
+    return n
+
+
+def start(source: DataFrame, state: str, results: str, quarantine: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], once: bool = True, attempts: int = ATTEMPTS) -> StreamingQuery:
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        out = applied(spark, batch, state, extract)
-        # Folders by batch: a repeated batch replaces its own.
-        out.write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
-        messages.parsed(batch).where("message IS NULL").write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+        n = _attempt(spark, f"{checkpoint}-attempts/{batch_id}")
+        rows = settled(numbered(batch))
+        if n < attempts:
+            out, failed = applied(spark, rows, state, extract), []
+        else:
+            out, failed = one_by_one(spark, rows, state, extract)
+        # Folders by batch: a repeated batch replaces its own. A job that is asked twice is answered once.
+        out.dropDuplicates(["job_id"]).write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
+        dead = F.col("message").isNull() | F.coalesce(F.col("message.event_id").isin(failed), F.lit(False))
+        rows.where(dead).write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
 
     writer = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+
+
+def keep_running(begin: Callable[[], StreamingQuery], attempts: int = ATTEMPTS) -> None:
+    """Start a stream and wait for it; start it again when it fails, so often that every batch gets its last attempt."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            begin().awaitTermination()
+            return
+        except StreamingQueryException:
+            if not left:
+                raise

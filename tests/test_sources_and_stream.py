@@ -35,7 +35,34 @@ def test_caches_round_trip(spark):
 
 
 def extract(new):
-    return new.select("event_id", F.concat(F.lit("f-"), "image_id").alias("face_id"), F.col("image_id").alias("photo_id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("v"))
+    """An image's name tells its face: a letter for the person, digits for a slight turn of it; n has no face, x fails."""
+    turn = F.regexp_extract("image_id", "[0-9]+", 0).cast("double") / 20
+    who = F.ascii("image_id") - 97
+    v = F.array(F.cos(who * 1.5 + turn), F.sin(who * 1.5 + turn)).cast("array<float>")
+    seen = ~F.col("image_id").startswith("n")
+    return new.select("event_id", F.concat(F.lit("f-"), "image_id").alias("face_id"), F.col("image_id").alias("photo_id"), F.when(seen, v).alias("v"), F.lit(100.0).alias("face_width"), F.when(F.col("image_id").startswith("x"), "unreadable").alias("error"))
+
+
+def classify(job, *ids, event="e1", **options):
+    return {"type": "classify_request", "job_id": job, "event_id": event, "images": [{"image_id": i, "s3_key": i} for i in ids], "options": options}
+
+
+def delete(job, *ids, event="e1"):
+    return {"type": "delete_request", "job_id": job, "event_id": event, "image_ids": list(ids)}
+
+
+def correction(job, action, event="e1", **what):
+    return {"type": "cluster_feedback", "job_id": job, "event_id": event, "action": action, action: what}
+
+
+def take(spark, state, *bodies):
+    """One batch of messages; results by job."""
+    raw = spark.createDataFrame([(i, json.dumps(m)) for i, m in enumerate(bodies)], "at long, raw string").coalesce(1)
+    return {r.job_id: r for r in worker.applied(spark, worker.numbered(raw), state, extract).collect()}
+
+
+def albums(result):
+    return sorted(sorted(c.image_ids) for c in result.clusters)
 
 
 def test_stream_takes_each_message_once(spark, tmp_path):
@@ -46,26 +73,51 @@ def test_stream_takes_each_message_once(spark, tmp_path):
         (inbox / name).write_text("\n".join(m if isinstance(m, str) else json.dumps(m) for m in messages))
         worker.start(worker.inbox(spark, str(inbox)), where["state"], where["results"], where["poison"], where["check"], extract).awaitTermination()
 
-    ask = lambda job, *ids: {"type": "classify_request", "job_id": job, "event_id": "e1", "images": [{"image_id": i, "s3_key": i} for i in ids]}
-    send("1.txt", ask("j1", "a", "b"))
-    send("2.txt", ask("j2", "b", "c"), "broken", '{"type":"x","job_id":"j3"}')
-    send("3.txt", {"type": "delete_request", "job_id": "j4", "event_id": "e1", "image_ids": ["a"]}, {"type": "cluster_feedback", "job_id": "j5", "event_id": "none", "action": "confirm_distinct", "confirm_distinct": {"cluster_ids": ["x", "y"]}})
-    faces = events.read(spark, where["state"])
-    assert sorted((r.photo_id, r.row_ix) for r in faces.collect()) == [("b", 1), ("c", 2)]
-    results = {r.job_id: r.status for r in spark.read.parquet(where["results"]).collect()}
-    assert results == {"j1": "succeeded", "j2": "succeeded", "j3": "failed", "j4": "succeeded", "j5": "failed"}
+    send("1.txt", classify("j1", "a1", "a2", "n1", "x1"), "broken", '{"type":"x","job_id":"j3"}')
+    send("2.txt", correction("j5", "confirm_distinct", event="none", cluster_ids=["x", "y"]), delete("j4", "a1", "a2"))
+    assert events.read(spark, f"{where['state']}/faces").count() == 0
+    results = {r.job_id: r for r in spark.read.option("mergeSchema", True).parquet(where["results"]).collect()}
+    assert {k: r.status for k, r in results.items()} == {"j1": "partial", "j3": "failed", "j4": "succeeded", "j5": "failed"}
+    assert albums(results["j1"]) == [["a1", "a2"]] and results["j1"].common_album == ["n1"] and [(x.image_id, x.reason) for x in results["j1"].failed_images] == [("x1", "unreadable")]
+    assert results["j4"].retired_cluster_ids == [results["j1"].clusters[0].cluster_id]
     assert spark.read.parquet(where["poison"]).count() == 2
-    send("4.txt", {"type": "delete_request", "job_id": "j6", "event_id": "e1", "image_ids": ["b", "c"]})
-    assert events.read(spark, where["state"]).count() == 0
 
 
-def test_feedback_that_is_not_applied_is_not_answered_succeeded(spark, tmp_path):
+def test_messages_of_an_event_are_taken_in_order(spark, tmp_path):
+    """A first upload, corrections one after the other, and what they leave behind."""
     state = f"file://{tmp_path}/state"
-    events.overwrite(rows(spark, "e1", 2), state)
-    message = {"type": "cluster_feedback", "job_id": "j", "event_id": "e1", "action": "confirm_distinct", "confirm_distinct": {"cluster_ids": ["x", "y"]}}
-    out = worker.applied(spark, spark.createDataFrame([(json.dumps(message),)], "raw string"), state, extract).collect()
-    assert [(r.job_id, r.status) for r in out] == [("j", "failed")]
-    assert events.read(spark, state).count() == 2
+    first = take(spark, state, classify("j1", "a1", "a2", "a3", "a4", "b1", "b2"), classify("j0", "b1", "b2", event="e2"))
+    assert albums(first["j1"]) == [["a1", "a2", "a3", "a4"], ["b1", "b2"]]
+    a, b = (c.cluster_id for c in first["j1"].clusters)
+    other = first["j0"].clusters[0].cluster_id
+    # Two corrections and a repeated upload in one batch: the second correction undoes a part of the first.
+    got = take(spark, state, correction("j2", "merge", target_cluster_id=a, source_cluster_ids=[b]), classify("j3", "a1", "a2"), correction("j4", "confirm_distinct", event="e2", cluster_ids=[other, "gone"]))
+    assert albums(got["j2"]) == albums(got["j3"]) == [["a1", "a2", "a3", "a4", "b1", "b2"]] and got["j2"].retired_cluster_ids == [b]
+    links = events.read(spark, f"{state}/links", events.CONSTRAINTS)
+    assert links.where("kind = 'must'").count() == 5 and links.where("event_id = 'e2'").count() == 0 and got["j4"].status == "succeeded"
+    got = take(spark, state, correction("j5", "split", cluster_id=a, groups=[["a1", "a2", "a3", "a4"], ["b1", "b2"]]), delete("j6", "a4"))
+    assert albums(got["j5"]) == [["a1", "a2", "a3", "a4"], ["b1", "b2"]] and albums(got["j6"]) == [["a1", "a2", "a3"], ["b1", "b2"]]
+    second = next(c.cluster_id for c in got["j6"].clusters if "b1" in c.image_ids)
+    got = take(spark, state, correction("j7", "reassign", image_id="a3", from_cluster_id=a, to_cluster_id=second))
+    assert albums(got["j7"]) == [["a1", "a2"], ["a3", "b1", "b2"]]
+    links = {(r.kind, r.a, r.b) for r in events.read(spark, f"{state}/links", events.CONSTRAINTS).collect()}
+    assert ("must", "f-a3", "f-b1") in links and ("cannot", "f-a1", "f-a3") in links and not any("f-a4" in x for x in links)
+    assert {r.event_id for r in events.read(spark, f"{state}/faces").collect()} == {"e1", "e2"}
+
+
+def test_an_event_that_cannot_be_done_does_not_hold_up_others(spark, tmp_path):
+    inbox, where = tmp_path / "in", {k: f"file://{tmp_path}/{k}" for k in ("state", "results", "poison", "check")}
+    inbox.mkdir()
+    (inbox / "1.txt").write_text("\n".join(map(json.dumps, (classify("j1", "a1", "a2"), classify("j2", "b1", event="bad")))))
+
+    def torn(new):
+        return extract(new).withColumn("face_width", F.when(F.col("event_id") == "bad", F.raise_error(F.lit("torn")).cast("double")).otherwise(100.0))
+
+    begin = lambda: worker.start(worker.inbox(spark, str(inbox)), where["state"], where["results"], where["poison"], where["check"], torn, attempts=2)
+    worker.keep_running(begin, 2)
+    assert {r.job_id: r.status for r in spark.read.parquet(where["results"]).collect()} == {"j1": "succeeded", "j2": "failed"}
+    assert [r.event_id for r in spark.read.parquet(where["poison"]).select("message.event_id").collect()] == ["bad"]
+    assert {r.event_id for r in events.read(spark, f"{where['state']}/faces").collect()} == {"e1"}
 
 
 def test_progress_keeps_the_furthest_tick(spark):
