@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from albumweave.functions.vectors import iou, mean_vector
-from albumweave.operators import clusters, density, feedback, folds, messages, pairs, rejudge, routing
+from albumweave.operators import clusters, density, feedback, folds, messages, pairs, recluster, rejudge, routing, screens
 from albumweave.operators.graph import canonical_pairs, greedy_matching, similar_components
 from albumweave.plans import fixtures as fx
 from albumweave.plans.fixtures import prelude
@@ -214,20 +214,19 @@ def headcount_eligibility(spark, sf_dir):
 def _scored(spark, sf_dir):
     faces = albums(fx.faces(spark, sf_dir))
     reps = rejudge.representatives(faces)
-    asked = faces.where("row_ix % 5 < 2 AND row_ix < 100000")
-    cand = rejudge.candidate_albums(asked, clusters.centroids(faces))
+    cand = rejudge.candidate_albums(faces, clusters.centroids(faces))
     return rejudge.scored_candidates(cand, reps, fx.scored_pairs(spark, sf_dir))
 
 
 _CAND = """rp AS (SELECT *, row_number() OVER (PARTITION BY event_id, label ORDER BY face_width DESC, row_ix) AS rk FROM faces),
-    cd AS (SELECT f.event_id, f.face_id, f.row_ix, f.photo_id, c.label, list_inner_product(f.v, c.c) AS s, row_number() OVER (PARTITION BY f.event_id, f.face_id ORDER BY list_inner_product(f.v, c.c) DESC, c.label::VARCHAR) AS rank FROM faces f JOIN cents c USING (event_id) WHERE f.row_ix % 5 < 2 AND f.row_ix < 100000 QUALIFY rank <= 3),
+    cd AS (SELECT f.event_id, f.face_id, f.row_ix, f.photo_id, c.label, list_inner_product(f.v, c.c) AS s, row_number() OVER (PARTITION BY f.event_id, f.face_id ORDER BY list_inner_product(f.v, c.c) DESC, c.label::VARCHAR) AS rank FROM faces f JOIN cents c USING (event_id) QUALIFY rank <= 3),
     sc AS (SELECT cd.*, r.face_id AS rep, p.similarity AS score FROM cd JOIN rp r ON r.event_id = cd.event_id AND r.label = cd.label AND r.rk = 1 LEFT JOIN scored_pairs p ON p.event_id = cd.event_id AND p.source_face_id = cd.face_id AND p.rep_face_id = r.face_id)"""
 
 
 @query("faces cents scored_pairs", "WITH " + _CAND + " SELECT event_id, face_id, label::VARCHAR AS cluster, round(s, 6) AS similarity, rank::INT AS rank FROM cd")
 def topk_albums_per_face(spark, sf_dir):
     faces = albums(fx.faces(spark, sf_dir))
-    return rejudge.candidate_albums(faces.where("row_ix % 5 < 2 AND row_ix < 100000"), clusters.centroids(faces)).select("event_id", "face_id", "cluster", r6("similarity"), "rank")
+    return rejudge.candidate_albums(faces, clusters.centroids(faces)).select("event_id", "face_id", "cluster", r6("similarity"), "rank")
 
 
 _BEST = ", bs AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, count(score) OVER w AS known, row_number() OVER (PARTITION BY event_id, face_id ORDER BY score DESC NULLS LAST, rank) AS place FROM sc WINDOW w AS (PARTITION BY event_id, face_id)) WHERE place = 1 AND known = n)"
@@ -284,12 +283,12 @@ def merge_to_must_chain(spark, sf_dir):
     return feedback.merge_chain(faces.drop("label"), merged)
 
 
-@query("faces", """WITH t AS (SELECT event_id, label, row_ix % 3 AS grp, row_ix, face_id FROM faces WHERE label < 3),
+@query("faces", """WITH t AS (SELECT event_id, label, row_ix % 3 AS grp, row_ix, face_id FROM faces),
     m AS (SELECT event_id, 'must' AS kind, face_id AS a, lead(face_id) OVER (PARTITION BY event_id, label, grp ORDER BY row_ix) AS b FROM t),
     f AS (SELECT *, row_number() OVER (PARTITION BY event_id, label, grp ORDER BY row_ix) AS rk FROM t QUALIFY rk = 1)
     SELECT * FROM m WHERE b IS NOT NULL UNION ALL SELECT x.event_id, 'cannot', x.face_id, y.face_id FROM f x JOIN f y ON x.event_id = y.event_id AND x.label = y.label AND x.row_ix < y.row_ix""")
 def split_to_constraints(spark, sf_dir):
-    faces = albums(fx.faces(spark, sf_dir)).where("label < 3").withColumn("grp", F.col("row_ix") % 3)
+    faces = albums(fx.faces(spark, sf_dir)).withColumn("grp", F.col("row_ix") % 3)
     return feedback.split_links(faces)
 
 
@@ -385,12 +384,10 @@ def box_overlaps(spark, sf_dir):
     return a.join(b, ["event_id", "photo_id"]).where("a_ix < b_ix").withColumn("iou", iou("a_box", "b_box")).where("iou >= 0.3").select("event_id", "a", "b", r6("iou"))
 
 
-@query("", """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events)
-    SELECT user_id AS job, n + 1 AS processed, total FROM e WHERE (n + 1) % 3 = 0 OR n + 1 = total""")
+@query("", """WITH e AS (SELECT user_id AS job, count(*) AS total FROM events GROUP BY ALL), n AS (SELECT job, total, unnest(range(total + 1)) AS processed FROM e)
+    SELECT job, processed, total FROM n WHERE processed % 3 = 0 OR processed = total""")
 def progress_ticks(spark, sf_dir):
-    w = Window.partitionBy("user_id")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job"), F.row_number().over(w.orderBy("event_id")).cast("long").alias("processed"), F.count("*").over(w).alias("total"))
-    return rows.where("processed % 3 = 0 OR processed = total")
+    return screens.ticks(spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("job")).agg(F.count("*").alias("total")))
 
 
 @query("", "SELECT user_id AS job, max(event_id % 97) AS processed, count(*) AS ticks FROM events GROUP BY ALL")
@@ -513,3 +510,79 @@ def resolved_suggestions(spark, sf_dir):
     final = faces.select("event_id", "face_id", F.when(F.col("row_ix") % 4 != 0, F.col("label").cast("string")).alias("cluster"))
     asked = fx.scored_pairs(spark, sf_dir).where("similarity >= 85 AND similarity < 90").withColumnRenamed("source_face_id", "face_id")
     return routing.resolved_suggestions(asked, final)
+
+
+@query()
+def recluster_full(spark, sf_dir):
+    """A whole pass over faces, re-uploads and hard faces, under corrections that are reconciled first."""
+    everyone = fx.faces(spark, sf_dir).union(fx.hard_faces(spark, sf_dir)).withColumnRenamed("prev_cluster_id", "previous")
+    links = folds.later_wins(fx.pair_log(spark, sf_dir).where("kind = 'cannot' OR seq % 7 = 0").withColumn("is_new", F.lit(False)))
+    found = recluster.recluster(everyone, links.select("event_id", "kind", "seq", "a", "b"))
+    return found.faces.select("event_id", "row_ix", "face_id", "status", "cluster_id", "is_new", r6("similarity"))
+
+
+_PREV = "m AS (SELECT *, prev_cluster_id || '#' || (row_ix % 2) AS cl FROM faces WHERE prev_cluster_id IS NOT NULL)"
+
+
+def _halves(spark, sf_dir):
+    return fx.faces(spark, sf_dir).where("prev_cluster_id IS NOT NULL").withColumn("cluster", F.concat("prev_cluster_id", F.lit("#"), (F.col("row_ix") % 2).cast("string")))
+
+
+@query("faces pair_log", "WITH " + _PREV + """, s AS (SELECT event_id, cl, pos, avg(x) AS x FROM (SELECT event_id, cl, unnest(v) AS x, unnest(range(74)) AS pos FROM m) GROUP BY ALL),
+    c AS (SELECT event_id, cl, list(x ORDER BY pos) AS c FROM s GROUP BY ALL), k AS (SELECT event_id, cl FROM m GROUP BY ALL HAVING count(*) >= 2),
+    ph AS (SELECT DISTINCT a.event_id, a.cl AS x, b.cl AS y FROM m a JOIN m b ON a.event_id = b.event_id AND a.photo_id = b.photo_id AND a.cl < b.cl WHERE list_inner_product(a.v, b.v) < 0.95),
+    us AS (SELECT DISTINCT p.event_id, least(a.cl, b.cl) AS x, greatest(a.cl, b.cl) AS y FROM pair_log p JOIN m a ON a.event_id = p.event_id AND a.face_id = p.a JOIN m b ON b.event_id = p.event_id AND b.face_id = p.b WHERE kind = 'cannot' AND a.cl <> b.cl),
+    d AS (SELECT a.event_id, a.cl AS x, b.cl AS y, list_inner_product(a.c, b.c) / sqrt(list_inner_product(a.c, a.c)) / sqrt(list_inner_product(b.c, b.c)) AS s FROM c a JOIN c b ON a.event_id = b.event_id AND a.cl < b.cl)
+    SELECT d.event_id, d.x AS a_cluster, d.y AS b_cluster, round(s, 6) AS similarity FROM d WHERE s >= 0.35 AND (d.event_id, d.x) IN (SELECT (event_id, cl) FROM k) AND (d.event_id, d.y) IN (SELECT (event_id, cl) FROM k)
+    AND (d.event_id, d.x, d.y) NOT IN (SELECT (event_id, x, y) FROM ph) AND (d.event_id, d.x, d.y) NOT IN (SELECT (event_id, x, y) FROM us)""")
+def album_pair_candidates(spark, sf_dir):
+    members = _halves(spark, sf_dir)
+    out = screens.album_candidates(members, rejudge.representatives(members), fx.pair_log(spark, sf_dir).where("kind = 'cannot'"))
+    return out.select("event_id", "a_cluster", "b_cluster", r6("similarity"))
+
+
+@query("faces", """SELECT DISTINCT a.event_id, a.label::VARCHAR AS a_cluster, b.label::VARCHAR AS b_cluster FROM faces a JOIN faces b ON a.event_id = b.event_id AND a.photo_id = b.photo_id AND a.label::VARCHAR < b.label::VARCHAR WHERE list_inner_product(a.v, b.v) < 0.95""")
+def same_photo_conflicts(spark, sf_dir):
+    return screens.photo_conflicts(albums(fx.faces(spark, sf_dir)))
+
+
+@query("faces pair_log", """SELECT DISTINCT p.event_id, least(a.label::VARCHAR, b.label::VARCHAR) AS a_cluster, greatest(a.label::VARCHAR, b.label::VARCHAR) AS b_cluster FROM pair_log p JOIN faces a ON a.event_id = p.event_id AND a.face_id = p.a
+    JOIN faces b ON b.event_id = p.event_id AND b.face_id = p.b WHERE kind = 'cannot' AND a.label <> b.label""")
+def user_separated_albums(spark, sf_dir):
+    return screens.separated(albums(fx.faces(spark, sf_dir)), fx.pair_log(spark, sf_dir).where("kind = 'cannot'"))
+
+
+@query("faces pair_log", """WITH t AS (SELECT event_id, face_id, 'c' || (row_ix % 40) AS comp FROM faces WHERE row_ix % 3 = 0), f AS (SELECT faces.*, coalesce(comp, face_id) AS cp FROM faces LEFT JOIN t USING (event_id, face_id)),
+    l AS (SELECT event_id, a, b FROM pair_log WHERE kind = 'cannot' UNION SELECT event_id, b, a FROM pair_log WHERE kind = 'cannot'),
+    bar AS (SELECT DISTINCT l.event_id, x.cp, m.label FROM l JOIN f x ON x.event_id = l.event_id AND x.face_id = l.a JOIN f y ON y.event_id = l.event_id AND y.face_id = l.b JOIN f m ON m.event_id = l.event_id AND m.cp = y.cp AND m.row_ix % 4 > 0),
+    ask AS (SELECT event_id, face_id, photo_id, cp, v, (label + row_ix % 3) % 10 AS label FROM f WHERE row_ix % 4 = 0)
+    SELECT event_id, face_id, label::VARCHAR AS cluster FROM ask WHERE (event_id, cp, label) NOT IN (SELECT (event_id, cp, label) FROM bar)
+    AND NOT EXISTS (SELECT 1 FROM f m WHERE m.event_id = ask.event_id AND m.photo_id = ask.photo_id AND m.label = ask.label AND m.row_ix % 4 > 0 AND list_inner_product(m.v, ask.v) < 0.95)""")
+def assignment_screens(spark, sf_dir):
+    faces = fx.faces(spark, sf_dir)
+    comps = faces.where("row_ix % 3 = 0").select("event_id", "face_id", F.concat(F.lit("c"), (F.col("row_ix") % 40).cast("string")).alias("comp"))
+    asked = faces.where("row_ix % 4 = 0").select("event_id", "face_id", ((F.col("label") + F.col("row_ix") % 3) % 10).cast("string").alias("cluster"))
+    out = screens.admissible(asked, faces, albums(faces.where("row_ix % 4 > 0")), fx.pair_log(spark, sf_dir).where("kind = 'cannot'"), comps)
+    return out.select("event_id", "face_id", "cluster")
+
+
+@query("scored_pairs", """SELECT event_id, source_face_id, rep_face_id, row_number() OVER (PARTITION BY event_id ORDER BY source_face_id, rep_face_id)::INT AS call FROM scored_pairs WHERE similarity >= 50 AND similarity < 90 QUALIFY call <= 100""")
+def call_budget(spark, sf_dir):
+    """The first hundred comparisons of each event that the cache lacks."""
+    scores = fx.scored_pairs(spark, sf_dir)
+    return screens.within_budget(scores.where("similarity >= 50"), scores.where("similarity >= 90"), 100, ["source_face_id", "rep_face_id"]).select("event_id", "source_face_id", "rep_face_id", "call")
+
+
+@query("faces", "WITH " + _LOO.format(faces="faces") + """ SELECT event_id, label::VARCHAR AS cluster, face_id FROM loo WHERE row_ix % 5 > 0 AND row_ix % 7 > 0 QUALIFY row_number() OVER (PARTITION BY event_id, label ORDER BY round(loo, 6) DESC, row_ix) = 1""")
+def thumbnail_faces(spark, sf_dir):
+    rows = clusters.leave_one_out(albums(fx.faces(spark, sf_dir))).withColumn("loo", F.round("loo", 6)).withColumn("box_width", (F.col("row_ix") % 5).cast("double"))
+    return screens.faces_of_albums(rows.withColumn("source_key", F.when(F.col("row_ix") % 7 > 0, "k"))).select("event_id", "cluster", "face_id")
+
+
+@query("", """WITH g AS (SELECT user_id AS photo_id, sin(event_id) AS gx, cos(event_id * 3.0) * 0.4 AS gy FROM events), c AS (SELECT photo_id, quantile_cont(sqrt(gx * gx + gy * gy), 0.9) AS cut FROM g GROUP BY ALL),
+    s AS (SELECT photo_id, sum(gx * gx) AS xx, sum(gy * gy) AS yy, sum(gx * gy) AS xy FROM g JOIN c USING (photo_id) WHERE sqrt(gx * gx + gy * gy) >= cut - 1e-12 GROUP BY ALL)
+    SELECT photo_id, round(sqrt((xx - yy) * (xx - yy) + 4 * xy * xy) / (xx + yy), 6) AS coherence FROM s""")
+def gradient_coherence(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.col("user_id").alias("photo_id"), F.sin(F.col("event_id").cast("double")).alias("gx"), (F.cos(F.col("event_id") * 3.0) * 0.4).alias("gy"))
+    return screens.steep(rows).select("photo_id", r6("coherence"))
