@@ -283,10 +283,11 @@ def test_quality_rules(documents):
 
 def test_byte_model_is_a_distribution(spark):
     rng = random.Random(0)
-    df = spark.createDataFrame([("en", sentence(rng, 50)) for _ in range(20)] + [(None, "other")], "lang string, text string")
+    df = spark.createDataFrame([("en", sentence(rng, 50)) for _ in range(20)] + [(None, "other")] + [(f"x{i}", f"word {i}") for i in range(400)], "lang string, text string")
     model = perplexity.train(df)
-    for context in (b"a b ", b"\n\n\n\n", b"zzzz", b"b\n\n\n"):
-        lang = perplexity.lang_code("en")
+    # "never" occurs in no text.
+    for name, context in itertools.product(("en", None, "x7", "never"), (b"a b ", b"\n\n\n\n", b"zzzz", b"b\n\n\n")):
+        lang = perplexity.lang_code(name)
         g = np.array([lang | int.from_bytes(context + bytes([c]), "big") for c in range(256)], np.int64)
         assert (10.0 ** model.log10(g)).sum() == pytest.approx(1, abs=1e-4)
 
