@@ -12,6 +12,7 @@ from albumweave.llm.perplexity import op8_quality_rules
 from albumweave.llm.pii import op5_pii
 from albumweave.llm.scoring import op9_lm_scoring
 from albumweave.llm.warc import op10_warc
+from albumweave.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE_SQL = {
