@@ -6,6 +6,7 @@ from albumweave.llm.classifier import op1_quality_classifier
 from albumweave.llm.html import op3_html_extraction
 from albumweave.llm.jaccard import op4_jaccard_join
 from albumweave.llm.knn import op6_topk_search
+from albumweave.llm.merkle import op12_merkle_manifest
 from albumweave.llm.mixing import op2_mixing
 from albumweave.llm.packing import op7_packing
 from albumweave.llm.perplexity import op8_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
     "op11_whitening": op11_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -67,4 +69,29 @@ ORACLE_SQL = {
                  CAST(list_sum(list_transform(range(5), lambda j: CASE WHEN substr(bits, CAST(i * 5 + j + 1 AS INT), 1) = '1' THEN 2 ** (4 - j) ELSE 0 END)) AS INT) + 1, 1)), lambda a, b: a || b) AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f""",
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, coalesce('s' || source, 'n') AS tree, text,
+                 coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+                 replace(text, chr(10), '') AS cut FROM documents),
+        e AS (SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS bad,
+                 list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+                   lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))) AS crc FROM d),
+        l AS (SELECT doc_id, tree, leaf, CASE WHEN crc % 2 = 1 THEN bad ELSE leaf END AS other, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS LAST, leaf) - 1 AS i FROM e),
+        n AS (SELECT tree, 0 AS lv, i, leaf AS hash, count(*) OVER (PARTITION BY tree) AS m FROM l
+              UNION ALL SELECT tree, lv + 1, i // 3, sha256(string_agg(hash, '' ORDER BY i)), (any_value(m) + 2) // 3 FROM n WHERE m > 1 GROUP BY tree, lv, i // 3),
+        s AS (SELECT tree, hash AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS m FROM n WHERE m = 1),
+        t AS (SELECT 0 AS lv, i, subroot AS hash, m FROM s UNION ALL SELECT lv + 1, i // 3, sha256(string_agg(hash, '' ORDER BY i)), (any_value(m) + 2) // 3 FROM t WHERE m > 1 GROUP BY lv, i // 3),
+        b AS (SELECT x.tree, x.lv, x.i, coalesce(string_agg(y.hash, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS a, coalesce(string_agg(y.hash, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS z
+              FROM n x JOIN n y ON x.tree = y.tree AND x.lv = y.lv AND x.i // 3 = y.i // 3 WHERE x.m > 1 GROUP BY ALL
+              UNION ALL SELECT NULL, x.lv, x.i, coalesce(string_agg(y.hash, '' ORDER BY y.i) FILTER (y.i < x.i), ''), coalesce(string_agg(y.hash, '' ORDER BY y.i) FILTER (y.i > x.i), '')
+              FROM t x JOIN t y ON x.lv = y.lv AND x.i // 3 = y.i // 3 WHERE x.m > 1 GROUP BY ALL),
+        u AS (SELECT tree, 0 AS lv, i AS own, i, leaf AS at_leaf, other AS fold, '' AS proof FROM l
+              UNION ALL SELECT u.tree, u.lv + 1, own, u.i // 3, at_leaf, sha256(a || fold || z), proof || a || z FROM u JOIN b ON u.tree = b.tree AND u.lv = b.lv AND u.i = b.i),
+        w AS (SELECT tree, own, max_by(fold, lv) AS fold, max_by(proof, lv) AS proof FROM u GROUP BY tree, own),
+        v AS (SELECT w.tree, own, 0 AS lv, s.i, fold, proof FROM w JOIN s ON s.tree = w.tree
+              UNION ALL SELECT v.tree, own, v.lv + 1, v.i // 3, sha256(a || fold || z), proof || a || z FROM v JOIN b ON b.tree IS NULL AND v.lv = b.lv AND v.i = b.i),
+        f AS (SELECT tree, own, max_by(fold, lv) AS fold, max_by(proof, lv) AS proof FROM v GROUP BY tree, own)
+        SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(f.proof) AS proof_sha256, f.fold AS folded_root, f.fold = r.root AS verified
+        FROM l JOIN s ON s.tree = l.tree JOIN f ON f.tree = l.tree AND f.own = l.i, (SELECT hash AS root FROM t WHERE m = 1) r""",
 }
