@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from albumweave.llm.chosen_path import op13_chosen_path_dedup
 from albumweave.llm.classifier import op1_quality_classifier
 from albumweave.llm.html import op3_html_extraction
 from albumweave.llm.jaccard import op4_jaccard_join
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_whitening": op11_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_chosen_path_dedup": op13_chosen_path_dedup,
 }
 
 ORACLE_SQL = {
@@ -94,4 +96,12 @@ ORACLE_SQL = {
         f AS (SELECT tree, own, max_by(fold, lv) AS fold, max_by(proof, lv) AS proof FROM v GROUP BY tree, own)
         SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(f.proof) AS proof_sha256, f.fold AS folded_root, f.fold = r.root AS verified
         FROM l JOIN s ON s.tree = l.tree JOIN f ON f.tree = l.tree AND f.own = l.i, (SELECT hash AS root FROM t WHERE m = 1) r""",
+    "op13_chosen_path_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, 1 + CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END)) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        reach AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT reach.doc_id, CASE WHEN e.a = o THEN e.b ELSE e.a END FROM reach JOIN e ON e.a = o OR e.b = o)
+        SELECT reach.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o) AS component_id, reach.doc_id = min(o) AS kept FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id""",
 }
