@@ -12,7 +12,7 @@ first each node's sets meet one of them, then in large nodes a few of the larges
 ones, and a node whose sets are all in one component is done. Where one component holds half of a large node, branching
 would not part it: the rest is compared with the whole node, in blocks. So is a node that is still large `DEPTH` levels
 down, so that no node is given up. What a comparison of the tokens (a byte each) doesn't rule out is confirmed on the
-full sets of shingle hashes. A pair over the threshold is ruled out wrongly, by fewer than `AGREE` common tokens of 64,
+full sets of shingle hashes: those of a block meet in one task, which hands on no more links than join its components. A pair over the threshold is ruled out wrongly, by fewer than `AGREE` common tokens of 64,
 about twice in a million times.
 
 Null and empty texts have no shingles and link with nothing: their component is their own doc_id. Texts of fewer words
@@ -24,11 +24,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumweave.llm.common import materialise, table
@@ -44,14 +45,20 @@ POSITIONS, AGREE = 64, 40
 #: Probability that a pair at the threshold is found, in nodes so many levels down.
 RECALL, DEPTH = 0.9999, 4
 #: Sets of a node that are compared exhaustively; sets of a block of a larger one.
-SMALL, BLOCK = 256, 2048
+SMALL, BLOCK, BLOCK_SHINGLES = 256, 2048, 1 << 20
+#: Columns of the tables whose products count common hashes.
+COLUMNS = 4096
 #: Sets that all others of a large node meet: of its largest component, and of how many more.
 HEADS, NEXT = 4, 7
 #: Bytes of sets that one task compares.
 TASK_BYTES = 16 << 20
+#: Which side of a cell a row is on.
+ALL, LEFT, RIGHT = 0, 1, 2
+CELL = ["node", "l", "r", "rid", "comp", "n", "tokens", "side", "shard"]
 #: The random orders.
 _RANDOM = np.random.Generator(np.random.PCG64(85)).integers(1, 2**63, (2, POSITIONS), dtype=np.uint64)
 _CHILD = np.uint64(0x9FB21C651E98DF25)
+_CHILD_OF = np.arange(1, 9, dtype=np.uint64) * _CHILD
 
 
 def survival(threshold: float, depth: int) -> float:
@@ -137,7 +144,7 @@ def branched(members: DataFrame, roots: int, link: tuple[int, int]) -> DataFrame
             picks = int(whole) + (mix(node ^ _CHILD) < np.uint64(part * 2**64)).astype(np.int64)
             for k in range(int(whole) + 1):
                 at = np.flatnonzero(picks > k)
-                place = roots + (mix(node[at] + np.uint64(k + 1) * _CHILD) % np.uint64(POSITIONS - roots)).astype(np.int64)
+                place = roots + (mix(node[at] + _CHILD_OF[k]) % np.uint64(POSITIONS - roots)).astype(np.int64)
                 child = mix(node[at] * _CHILD ^ (place.astype(np.uint64) << np.uint64(8)) ^ t[at, place].astype(np.uint64))
                 rows = batch.take(pa.array(at))
                 yield pa.record_batch([pa.array(child.view(np.int64)), *rows.columns[1:]], names=["node", "rid", "comp", "n", "tokens"])
@@ -170,107 +177,185 @@ def not_ruled_out(pairs: DataFrame, sets: DataFrame, link: tuple[int, int]) -> D
     return pairs.join(left, "a").join(right, "b").where(size).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def with_comp(members: DataFrame, root: DataFrame) -> DataFrame:
-    """Members of nodes that hold more than one component, with their own and the node's size and largest component."""
-    at = members.join(root.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-    return opened(at)
+def in_components(members: DataFrame, root: DataFrame) -> DataFrame:
+    """Members with `comp`, their own component so far."""
+    at = members.join(root.withColumnRenamed("node", "rid"), "rid", "left")
+    return at.withColumn("comp", F.coalesce("root", "rid")).drop("root")
+
+
+def parts_of(at: DataFrame) -> DataFrame:
+    """(node, comp, m, heads): how many sets of a component a node holds, and a few of them."""
+    slot = F.pmod(F.xxhash64("rid"), F.lit(HEADS))
+    heads = [F.min(F.when(slot == k, F.col("rid"))).alias(f"h{k}") for k in range(HEADS)]
+    parts = at.groupBy("node", "comp").agg(F.count("*").alias("m"), *heads)
+    return parts.select("node", "comp", "m", F.array_compact(F.array(*(f"h{k}" for k in range(HEADS)))).alias("heads"))
 
 
 def opened(at: DataFrame) -> DataFrame:
-    parts = at.groupBy("node", "comp").agg(F.count("*").alias("m"))
-    nodes = parts.groupBy("node").agg(F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("most"), F.count("*").alias("comps"))
-    nodes = nodes.where("comps > 1").select("node", "size", F.col("most.comp").alias("largest"), F.col("most.m").alias("share"))
+    """Members of nodes that hold more than one component, with the node's size, its largest component, that one's share,
+    and into how many blocks its sets, and those outside of the largest component, are to be cut."""
+    parts = at.groupBy("node", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("k"))
+    most = F.max(F.struct("m", "comp", "k")).alias("most")
+    nodes = parts.groupBy("node").agg(F.sum("m").alias("size"), F.sum("k").alias("k"), most, F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda m, k: F.greatest(F.ceil(m / BLOCK), F.ceil(k / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    outside = blocks(F.col("size") - F.col("most.m"), F.col("k") - F.col("most.k"))
+    nodes = nodes.select("node", "size", F.col("most.comp").alias("largest"), F.col("most.m").alias("share"), outside.alias("ls"), blocks(F.col("size"), F.col("k")).alias("rs"))
     return at.join(nodes, "node")
 
 
 def met_heads(at: DataFrame) -> DataFrame:
-    """Pairs of a node's sets outside of its largest component and its heads, of other components."""
-    ids = at.select("node", "rid", "comp", "largest")
+    """Pairs of a large node's sets outside of its largest component and its heads, of other components."""
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), "comp"))
-    top = ids.groupBy("node", "comp").agg(F.count("*").alias("m")).withColumn("place", place).where(F.col("place") <= NEXT + 1)
-    turn = F.row_number().over(Window.partitionBy("node", "comp").orderBy(F.xxhash64("rid"), "rid"))
-    heads = ids.withColumn("turn", turn).where(F.col("turn") <= HEADS).join(top, ["node", "comp"]).where("place = 1 OR turn = 1")
-    heads = heads.select("node", F.col("rid").alias("head"), F.col("comp").alias("head_comp"))
-    met = ids.where("comp <> largest").join(heads, "node").where("comp <> head_comp")
-    return met.select(F.least("rid", "head").alias("a"), F.greatest("rid", "head").alias("b")).distinct()
-
+    parts = parts_of(at).withColumns({"size": F.sum("m").over(Window.partitionBy("node")), "place": place})
+    parts = parts.where((F.col("size") > SMALL) & (F.col("place") <= NEXT + 1))
+    heads = F.transform(F.when(F.col("place") == 1, F.col("heads")).otherwise(F.slice("heads", 1, 1)), lambda h: F.struct(h.alias("rid"), F.col("comp").alias("comp")))
+    nodes = parts.groupBy("node").agg(F.flatten(F.collect_list(heads)).alias("heads"), F.min_by("comp", "place").alias("largest"), F.count("*").alias("comps")).where("comps > 1")
+    met = at.join(nodes, "node").where("comp <> largest").select("rid", "comp", F.explode("heads").alias("head")).where("comp <> head.comp")
+    return met.select(F.least("rid", "head.rid").alias("a"), F.greatest("rid", "head.rid").alias("b")).distinct()
 
-def compared(cells: DataFrame, link: tuple[int, int], one_block: bool) -> DataFrame:
-    """Pairs (a, b) of different components in each cell that sizes and tokens leave open: all of them, or those of a
-    left and a right side."""
 
-    def left_over(i: np.ndarray, j: np.ndarray, comp: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = (comp[i] != comp[j]) & within(n, i, j, link)
-        i, j = i[ok], j[ok]
-        ok = near(t[i], t[j])
-        return i[ok], j[ok]
+def in_cells(cells: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]], schema: str) -> DataFrame:
+    """What `work` makes of each shard's rows, in order, and of the first rows of its cells."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("node", "ascending"), ("l", "ascending"), ("r", "ascending"), ("rid", "ascending")])
-        node, lb, rb, rid, comp, n = (rows.column(c).to_numpy() for c in ("node", "l", "r", "rid", "comp", "n"))
-        left = rows.column("left").to_numpy()
-        t = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+        node, lb, rb = (rows.column(c).to_numpy() for c in ("node", "l", "r"))
         first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (lb[1:] != lb[:-1]) | (rb[1:] != rb[:-1])]))
-        size = np.diff(np.append(first, len(node)))
-        found = [(np.empty(0, np.int64),) * 2]
-        if one_block:
-            for m in range(2, 17):  # small nodes of one size at once
-                at = first[size == m]
-                p, q = np.triu_indices(m, 1)
-                for i in range(0, len(at), step := 1 + (1 << 18) // len(p)):
-                    found.append(left_over((at[i : i + step, None] + p).ravel(), (at[i : i + step, None] + q).ravel(), comp, n, t))
-        for i, m in zip(first.tolist(), size.tolist(), strict=True):
-            if one_block and m <= 16:
-                continue
-            own = np.arange(i, i + m)
-            largest = np.argmax(np.bincount(np.unique(comp[own], return_inverse=True)[1]))
-            asked = own[np.unique(comp[own], return_inverse=True)[1] != largest] if one_block else own[left[own]]
-            others = own if one_block else own[~left[own]]
-            for x in asked.tolist():
-                found.append(left_over(np.full(len(others), x), others, comp, n, t))
-        a, b = (rid[np.concatenate(x)] for x in zip(*found, strict=True))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        return work(rows, first)
+
+    return cells.groupBy("shard").applyInArrow(run, schema)
+
 
-    return cells.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+def _tokens(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("tokens").to_pylist()), np.uint8).reshape(-1, POSITIONS)
 
 
-def _shard(shards: int):
-    return F.pmod(F.xxhash64("node", "l", "r"), F.lit(shards)).alias("shard")
+def _sides(own: np.ndarray, side: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a cell that are compared, and those with which: of a small node all outside of its largest component
+    with all."""
+    if side[own[0]] == ALL:
+        part = np.unique(comp[own], return_inverse=True)[1]
+        return own[part != np.argmax(np.bincount(part))], own
+    return own[side[own] == LEFT], own[side[own] == RIGHT]
 
 
-def in_small(at: DataFrame, shards: int) -> DataFrame:
-    zero = F.lit(0)
-    rows = at.select("node", zero.alias("l"), zero.alias("r"), "rid", "comp", "n", "tokens", F.lit(False).alias("left"))
-    return rows.withColumn("shard", _shard(shards))
+def suspects(cells: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """The rows of cells that have one of another component in their cell whose size and tokens leave a link open."""
 
+    def work(rows: pa.Table, first: np.ndarray) -> pa.Table:
+        comp, n, side = (rows.column(c).to_numpy() for c in ("comp", "n", "side"))
+        t = _tokens(rows)
+        size = np.diff(np.append(first, len(comp)))
+        keep = np.zeros(len(comp), bool)
 
-def in_blocks(at: DataFrame, shards: int) -> DataFrame:
-    """Cells of large nodes: blocks of the sets outside of a node's largest component meet blocks of all its sets."""
-    outside = F.greatest(F.ceil((F.col("size") - F.col("share")) / BLOCK), F.lit(1))
-    rows = at.withColumns({"ls": outside.cast("int"), "rs": F.ceil(F.col("size") / BLOCK).cast("int"), "by": F.xxhash64("rid")})
-    cols = ["node", "l", "r", "rid", "comp", "n", "tokens", "left"]
-    left = rows.where("comp <> largest").withColumns({"l": F.pmod("by", "ls"), "r": F.explode(F.sequence(F.lit(0), F.col("rs") - 1)), "left": F.lit(True)})
-    right = rows.withColumns({"l": F.explode(F.sequence(F.lit(0), F.col("ls") - 1)), "r": F.pmod("by", "rs"), "left": F.lit(False)})
-    ints = lambda df: df.withColumns({c: F.col(c).cast("int") for c in "lr"}).select(*cols)
-    return ints(left).union(ints(right)).withColumn("shard", _shard(shards))
+        def look(i: np.ndarray, j: np.ndarray) -> None:
+            ok = (comp[i] != comp[j]) & within(n, i, j, link)
+            i, j = i[ok], j[ok]
+            ok = near(t[i], t[j])
+            keep[i[ok]] = keep[j[ok]] = True
 
+        tiny = (size <= 16) & (side[first] == ALL)
+        for m in range(2, 17):  # tiny nodes of one size at once
+            at = first[tiny & (size == m)]
+            p, q = np.triu_indices(m, 1)
+            for i in range(0, len(at), step := 1 + (1 << 18) // len(p)):
+                look((at[i : i + step, None] + p).ravel(), (at[i : i + step, None] + q).ravel())
+        for i, m in zip(first[~tiny].tolist(), size[~tiny].tolist(), strict=True):
+            asked, others = _sides(np.arange(i, i + m), side, comp)
+            for x in asked.tolist():
+                look(np.full(len(others), x), others)
+        return rows.filter(pa.array(keep)).select(CELL)
+
+    return in_cells(cells, work, "node long, l int, r int, rid long, comp long, n long, tokens binary, side int, shard int")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of sets (sorted hashes) on two sides: products of their rows of a table of hashes,
+    some columns at a time; a hash on one side only is left out."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    row = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right)]
+    at = [np.minimum(np.searchsorted(both, x), max(len(both) - 1, 0)) for x in (a, b)]
+    for i in range(0, len(both), COLUMNS):
+        tables = []
+        for x, r, p, m in zip((a, b), row, at, (len(left), len(right)), strict=True):
+            here = (p >= i) & (p < i + COLUMNS)
+            here[here] = both[p[here]] == x[here]
+            table_ = np.zeros((m, min(COLUMNS, len(both) - i)), np.float32)
+            table_[r[here], p[here] - i] = 1
+            tables.append(table_)
+        out += tables[0] @ tables[1].T
+    return out
 
-def open_pairs(at: DataFrame, roots: int, link: tuple[int, int], shards: int) -> list[DataFrame]:
-    """Pairs (a, b) of different components that the trees leave, from members (node, rid, comp, n, tokens, size,
-    largest, share): small nodes and dense ones are compared, other large ones branch."""
+
+def linked_in(cells: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that join all components of a cell which links join: a tree of each."""
+
+    def work(rows: pa.Table, first: np.ndarray) -> pa.Table:
+        rid, comp, n, side = (rows.column(c).to_numpy() for c in ("rid", "comp", "n", "side"))
+        t, sets = _tokens(rows), [np.frombuffer(x.as_py(), "<u8") for x in rows.column("shingles")]
+        out: list[tuple[int, int]] = []
+        for i, j in zip(first.tolist(), np.append(first[1:], len(rid)).tolist(), strict=True):
+            x, y = _sides(np.arange(i, j), side, comp)
+            if not len(x) or not len(y):
+                continue
+            both = overlaps([sets[k] for k in x], [sets[k] for k in y])
+            ok = (link[0] + link[1]) * both.astype(np.int64) >= link[1] * (n[x][:, None] + n[y])
+            ok &= comp[x][:, None] != comp[y]
+            p, q = np.nonzero(ok)
+            out.extend(zip(x[p].tolist(), y[q].tolist(), strict=True)) if len(p) < 64 else out.extend(forest(x[p], y[q]))
+        a, b = (rid[np.array(c, np.int64)] for c in (zip(*out, strict=True) if out else ((), ())))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return in_cells(cells, work, "a long, b long").distinct()
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of edges a-b those of a spanning forest."""
+    up: dict[int, int] = {}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = x, y
+        while up.get(p, p) != p:
+            up[p] = p = up.get(up[p], up[p])
+        while up.get(q, q) != q:
+            up[q] = q = up.get(up[q], up[q])
+        if p != q:
+            up[q] = p
+            yield x, y
+
+
+def cells_of(at: DataFrame, dense: Column, shards: int) -> DataFrame:
+    """Members in the cells (node, l, r) where they are compared. A small node is one; in a large and dense one, blocks of
+    the sets outside of its largest component meet blocks of all its sets. Other nodes are left out."""
+    rows = at.withColumn("by", F.xxhash64("rid"))
+    small, large = rows.where(F.col("size") <= SMALL), rows.where((F.col("size") > SMALL) & dense)
+    parts = [
+        small.withColumns({"l": F.lit(0), "r": F.lit(0), "side": F.lit(ALL)}),
+        large.where("comp <> largest").withColumns({"l": F.pmod("by", "ls"), "r": F.explode(F.sequence(F.lit(0), F.col("rs") - 1)), "side": F.lit(LEFT)}),
+        large.withColumns({"l": F.explode(F.sequence(F.lit(0), F.col("ls") - 1)), "r": F.pmod("by", "rs"), "side": F.lit(RIGHT)}),
+    ]
+    cols = ["node", F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r"), "rid", "comp", "n", "tokens", "side"]
+    every = parts[0].select(*cols).union(parts[1].select(*cols)).union(parts[2].select(*cols))
+    return every.withColumn("shard", F.pmod(F.xxhash64("node", "l", "r"), F.lit(shards)).cast("int"))
+
+
+def open_cells(at: DataFrame, roots: int, link: tuple[int, int], shards: int) -> list[DataFrame]:
+    """Cells that may hold links between components, from members (node, rid, comp, n, tokens) of all trees: small nodes
+    and dense ones are looked at, other large ones branch."""
     out = []
     for level in range(1, DEPTH + 1):
-        at = materialise(at, "open")
-        held = at.agg(F.count("*").alias("m")).first().m * (POSITIONS + 40)
-        tasks = max(shards, -(-held // TASK_BYTES))
-        out.append(materialise(compared(in_small(at.where(F.col("size") <= SMALL), tasks), link, True), "found"))
-        large = at.where(F.col("size") > SMALL)
+        at = materialise(opened(at), "open")
         dense = F.lit(True) if level == DEPTH else 2 * F.col("share") >= F.col("size")
-        out.append(materialise(compared(in_blocks(large.where(dense), tasks), link, False), "found"))
-        large = large.where(~dense)
-        if level == DEPTH or large.isEmpty():
+        sparse = (F.col("size") > SMALL) & ~dense
+        held = at.agg(F.count("*").alias("m"), F.count_if(sparse).alias("sparse")).first()
+        if not held.m:
             break
-        at = opened(materialise(branched(large, roots, link), "branched"))
+        tasks = max(shards, -(-held.m * (POSITIONS + 40) // TASK_BYTES))
+        out.append(materialise(suspects(cells_of(at, dense, tasks), link), "suspects"))
+        if not held.sparse:
+            break
+        at = branched(at.where(sparse), roots, link)
     return out
 
 
@@ -301,39 +386,39 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, link: tuple[int, int]
     same = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("nodes").alias("nodes"))
     sets = materialise(same.withColumn("rid", F.monotonically_increasing_id()), "classes")
     members = materialise(first_nodes(sets), "nodes")
-    shared = members.groupBy("node").agg(F.count("*").alias("size"), F.min("rid").alias("head")).where("size > 1").select("node", "head")
-    members = materialise(members.join(shared, "node"), "members")
+    held = members.groupBy("node").agg(F.count("*").alias("size"), F.min("rid").alias("head")).where("size > 1").select("node", "head")
+    members = materialise(members.join(held, "node"), "members")
     own = sets.select("rid", "n", "tokens")
     root = spark.createDataFrame([], "node long, root long")
-    done = found = whole = None
-    for turn in (1, 2, 3):
+    whole, done = [], None
+
+    def asked(ids: DataFrame) -> DataFrame:
+        """The full sets that were asked for so far, with those of `ids`."""
+        for known in whole:
+            ids = ids.join(known.select("rid"), "rid", "left_anti")
+        wanted = materialise(ids.join(sets.select("rid", "doc_id", "set"), "rid"), "asked")
+        whole.append(whole_sets(docs, wanted, size, shards))
+        return reduce(DataFrame.union, whole)
+
+    def grown(new: DataFrame) -> DataFrame:
+        return root if new.isEmpty() else components(new.union(root.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    for turn in (1, 2):
         if turn == 1:
-            pairs = not_ruled_out(members.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct(), own, link)
-        elif turn == 2:
-            pairs = not_ruled_out(met_heads(with_comp(members.select("node", "rid"), root).where(F.col("size") > SMALL)), own, link)
+            pairs = members.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
         else:
-            at = with_comp(members.select("node", "rid"), root).join(own, "rid")
-            parts = open_pairs(at, roots, link, shards)
-            pairs = parts[0]
-            for more in parts[1:]:
-                pairs = pairs.union(more)
-            pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, f"pairs{turn}")
-        ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-        ids = materialise(ids if found is None else ids.join(found, "rid", "left_anti"), "asked")
-        found = ids if found is None else found.union(ids)
-        if not ids.isEmpty():
-            more = whole_sets(docs, ids.join(sets.select("rid", "doc_id", "set"), "rid"), size, shards)
-            whole = more if whole is None else whole.union(more)
-        if whole is None:
-            continue
-        judged = materialise(verified(pairs, whole, link), f"verified{turn}")
-        done = judged.select("a", "b") if done is None else done.union(judged.select("a", "b"))
-        new = judged.where("linked").select("a", "b")
-        if not new.isEmpty():
-            root = components(new.union(root.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            pairs = met_heads(in_components(members.select("node", "rid"), root)).join(done, ["a", "b"], "left_anti")
+        pairs = materialise(not_ruled_out(pairs, own, link), f"pairs{turn}")
+        known = asked(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct())
+        judged = materialise(verified(pairs, known, link), f"verified{turn}")
+        done = judged.select("a", "b")
+        root = grown(judged.where("linked").select("a", "b"))
+    cells = open_cells(in_components(members.select("node", "rid"), root).join(own, "rid"), roots, link, shards)
+    if cells:
+        cells = reduce(DataFrame.union, cells)
+        tasks = max(shards, -(-8 * (cells.agg(F.sum("n")).first()[0] or 0) // TASK_BYTES))
+        dealt = cells.withColumn("shard", F.pmod(F.xxhash64("node", "l", "r"), F.lit(tasks)).cast("int"))
+        root = grown(materialise(linked_in(dealt.join(asked(cells.select("rid").distinct()), "rid"), link), "linked"))
     in_class = sets.select("set", "rid", "doc_id").join(root.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     names = in_class.groupBy("root").agg(F.min("doc_id").alias("name"))
     out = rows.select("doc_id", "n", "set").join(in_class.join(names, "root").select("set", "name"), "set", "left")

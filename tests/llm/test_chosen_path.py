@@ -67,6 +67,8 @@ def test_branches_and_blocks(spark, monkeypatch):
     """Nodes of a few sets are large here: they branch, dense ones are compared in blocks."""
     monkeypatch.setattr(chosen_path, "SMALL", 4)
     monkeypatch.setattr(chosen_path, "BLOCK", 8)
+    monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(chosen_path, "COLUMNS", 7)
     monkeypatch.setattr(chosen_path, "HEADS", 1)
     monkeypatch.setattr(chosen_path, "NEXT", 0)
     rng = random.Random(5)
