@@ -5,11 +5,12 @@ each tag, adjusted for the share of links; its density sum is the sum of its chi
 mere inline markup, or one bold line would outweigh its article). The element of the largest sum is the article's body,
 and the least density on its path up to the body element is the threshold:
 - An element beside that path joins the text if its density reaches the threshold and its own sum a share (`PART`) of the
-  largest; so do headings and paragraphs beside the chosen element, unless they stand in the body element itself.
-- Inside the chosen element, blocks below the threshold that are links for the greater part go, and so do blocks with a
-  class or id that names what articles are not, if their sum is below that share.
-HTML fixes the meaning of some tags: menus, footers, asides, forms and the like never hold the text, and where the chosen
-element is inside an `article` or `main`, or around the page's only one, that is chosen in its place.
+  largest; so do headings and paragraphs beside the chosen element, unless they stand in the body element itself; in an
+  `article` or `main` these need not be dense, and nothing joins from outside of it.
+- Inside the chosen element, blocks below the threshold that are links for the greater part go.
+HTML fixes the meaning of some tags: menus, footers, asides, forms and the like never hold the text, and of elements with
+equal sums an `article` or `main` is chosen before others, and then the outermost. Where no part of a page outweighs the
+whole, the body element has the largest sum and tells nothing; then the page's only `article` or `main` is chosen.
 Text inside is taken in page order, one line for each block.
 
 Null and empty pages, and pages without such text, give an empty text. Whole pages are read, in one pass however long or
@@ -38,10 +39,9 @@ BLOCK = set(
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"table", "ul", "ol", "dl", "select", "div", "article", "section", "body", "html", "main"}
-#: Elements that hold no article, by tag and by role, and words of a class or id that name such.
+#: Elements that hold no article, by tag and by role.
 NO_TAG = RAW | set("head nav footer aside form button select menu svg canvas object audio video dialog header".split())
 NO_ROLE = set("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
-NO_WORD = set("ad ads advert adverts advertisement sponsor sponsored sidebar menu navbar navigation breadcrumbs comment comments cookie cookies notice newsletter".split())
 #: Share of the largest density sum that other parts must reach.
 PART = 0.3
 HEADS = set("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure".split())
@@ -53,9 +53,9 @@ BREAK = object()
 
 class Node:
     """An element. `off` are those that HTML itself or the page hides or sets apart, with all below them; `gone` those
-    whose text is no text at all; `named` those whose class or id names no article."""
+    whose text is no text at all."""
 
-    __slots__ = ("block", "chars", "children", "density", "gone", "item", "link_chars", "link_tags", "named", "off", "parent", "parts", "sum", "tag", "tags", "within")
+    __slots__ = ("block", "chars", "children", "density", "gone", "item", "link_chars", "link_tags", "off", "parent", "parts", "sum", "tag", "tags", "within")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
@@ -68,7 +68,6 @@ class Node:
         self.within = tag in ("article", "main") or (parent is not None and parent.within)
         self.off = parent is not None and parent.off
         self.gone = tag in RAW or tag == "head" or (parent is not None and parent.gone)
-        self.named = False
 
     def mark(self, attributes: str) -> None:
         if self.tag in NO_TAG and not (self.tag == "header" and self.within):
@@ -78,9 +77,7 @@ class Node:
             return
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id") and self.tag not in ("article", "main"):
-                self.named |= not NO_WORD.isdisjoint(re.split(r"[^a-z0-9]+", value))
-            elif (name == "role" and value in NO_ROLE) or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
+            if (name == "role" and value in NO_ROLE) or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 self.off = True
 
 
@@ -210,13 +207,16 @@ def measure(nodes: list[Node]) -> None:
 
 
 def largest(nodes: list[Node]) -> dict[int, Node]:
-    """The element of the largest sum in each element, the outermost on ties; those set apart are passed over."""
+    """The element of the largest sum in each element; of equal ones an `article` or `main`, else the outermost. Those set
+    apart are passed over."""
+    named = lambda x: x.tag in ("article", "main")
     best: dict[int, Node] = {}
     for node in reversed(nodes):
         top = node
         for child in node.children:
-            if not child.off and best[id(child)].sum > top.sum:
-                top = best[id(child)]
+            other = best[id(child)]
+            if not child.off and (other.sum > top.sum or (other.sum == top.sum and named(other) and not named(top))):
+                top = other
         best[id(node)] = top
     return best
 
@@ -226,24 +226,22 @@ def content(nodes: list[Node]) -> tuple[set[int], Node, float]:
     best = largest(nodes)
     body = nodes[0]
     chosen = best[id(body)]
-    most, least, path, node = chosen.sum, chosen.density, [], chosen
-    tops = [x for x in nodes if x.tag in ("article", "main") and not x.off and x.chars and not x.parent.within]
+    most, least, node = chosen.sum, chosen.density, chosen
+    if chosen is body:
+        tops = [x for x in nodes if x.tag in ("article", "main") and not x.off and x.chars and not x.parent.within]
+        chosen = node = tops[0] if len(tops) == 1 else body
     while node is not None:
         least = min(least, node.density)
-        path.append(node)
         node = node.parent
-    if chosen.within:
-        chosen = next(x for x in path if x.tag in ("article", "main") and not x.parent.within)
-    elif len(tops) == 1 and chosen.tag == "body":
-        chosen = tops[0]
     taken, child = {id(chosen)}, chosen
-    while not chosen.within and child.parent is not None:
+    while child.tag not in ("article", "main") and child.parent is not None:
         near = child.parent
         for x in near.children:
-            if x is child or x.off or x.named or not x.chars:
+            if x is child or x.off or not x.chars:
                 continue
             part = x.density >= least and best[id(x)].sum >= PART * most
-            if part or (x.tag in HEADS and near is not body and near is chosen.parent and x.density >= least):
+            beside = x.tag in HEADS and near is not body and near is chosen.parent and 2 * x.link_chars <= x.chars
+            if part or (beside and (near.within or x.density >= least)):
                 taken.add(id(best[id(x)]) if part else id(x))
         child = near
     return taken, chosen, least
@@ -256,7 +254,6 @@ def main_text(page: str | None) -> str:
     if not root.chars:
         return ""
     chosen, top, least = content(nodes)
-    best = max(x.sum for x in nodes)
     lines: list[list[str]] = [[]]
     stack: list = [(root, False)]
     while stack:
@@ -269,8 +266,7 @@ def main_text(page: str | None) -> str:
         elif not item.off:
             block = item.tag in BLOCK
             if taken and block and item is not top:
-                links = item.density < least and 2 * item.link_chars > item.chars
-                if links or (item.named and item.sum < PART * best):
+                if item.density < least and 2 * item.link_chars > item.chars:
                     lines.append([])
                     continue
             taken = taken or id(item) in chosen

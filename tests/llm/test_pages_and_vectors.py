@@ -214,6 +214,27 @@ def test_density_decides_where_tags_do_not():
     assert html.main_text(page) == "\n".join(["Title", text, "Note", text, text, text, text, text])
 
 
+LONG = " ".join(["words of a long enough sentence that go on"] * 4)
+STORY = "".join(f"<p>{k} {LONG}.</p>" for k in range(5))
+LINKS = "<ul>" + "".join(f"<li><a href=x>go to {k}</a></li>" for k in range(12)) + "</ul>"
+TITLED = "\n".join(["Title", *(f"{k} {LONG}." for k in range(5))])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class=top>{LINKS}</div><article><p>Buy <a href=x>this</a> now</p></article><div id=wrap><div class=story><h1>Title</h1>{STORY}</div></div></body>",
+        f"<body><div class=top>{LINKS}</div><div id=wrap><div class=story><h1>Title</h1>{STORY}</div><div class=more>{LINKS}</div></div></body>",
+        f"<body><nav>{LINKS}</nav><article><h1>Title</h1><div>{STORY}</div><div class=related>{LINKS}</div></article></body>",
+        "<body><div class=story><h1>Title</h1>" + STORY + "</div><div class=said>" + "".join(f"<article><p>note {k} by <a href=x>someone</a></p></article>" for k in range(4)) + "</div></body>",
+        f"<body><div class=sponsored-story id=comments><h1>Title</h1>{STORY}</div><div>{LINKS}</div></body>",
+    ],
+)
+def test_density_decides_where_tags_and_names_mislead(page):
+    """An article around an advert, none at all, links inside it, comments in articles, a telling name on the text."""
+    assert html.main_text(page) == TITLED
+
+
 @pytest.mark.parametrize("piece", ["<a ", '<a "', "<div>", "</x>", "<b><p>", "<li>", "<header>", "<a href='>", "<!--", "<script>", "<td><tr>", "<"])
 def test_broken_pages_take_linear_time(piece):
     import time
