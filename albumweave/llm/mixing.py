@@ -4,7 +4,7 @@ Within a source every document is expected rate = target / source size times. Do
 running sum of expected copies plus one random offset of the source is cut at the integers, and a document is emitted
 once for each integer its interval crosses. In order of size the words taken stay within about one document of the
 target. Running ranks are built in three bounded steps (sizes of a source, salts of a size, rows of a salt), so that
-neither a hot source nor a hot size meets in one task.
+neither a hot source nor a hot size meets in one task. Salts are hashes of ids, or of texts where there is no id.
 
 Null and empty texts have size 0 and take nothing. Null sources form one source, ordered last. Rows that repeat are
 separate documents; which of several rows with one doc_id, source and size is taken makes no difference to the result.
@@ -47,8 +47,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, salts: int = SALTS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, and _row where there is one."""
     own = [c for c in ("_row",) if c in docs.columns]
-    rows = materialise(docs.select("doc_id", *own, "source", n_words(F.col("text")).alias("size")), "sizes")
-    rows = rows.withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(salts)).cast("int"))
+    drawn = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
+    salt = F.pmod(F.conv(F.substring(drawn, 1, 4), 16, 10).cast("int"), F.lit(salts)).alias("salt")
+    rows = materialise(docs.select("doc_id", *own, "source", n_words(F.col("text")).alias("size"), salt), "sizes")
     salted = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     by_size = salted.groupBy("source", "size").agg(F.sum("n").alias("m"))
     goal = targets(by_size.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).cast("long").alias("source_size")), weights, share, most)

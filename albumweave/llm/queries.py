@@ -34,7 +34,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_mixing": r"""
-        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        WITH d AS (SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 4))::INT % 256 AS salt, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w, 2.0::DOUBLE * source_size AS cap FROM s),
         l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -42,7 +42,7 @@ ORACLE_SQL = {
         t AS (SELECT *, least(cap, (SELECT level FROM l WHERE cap >= level * w ORDER BY cap / w, source NULLS LAST LIMIT 1) * w) AS target FROM l),
         r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
                      ('0x' || substr(md5('17|' || CASE WHEN d.source IS NULL THEN 'true' ELSE 'false' END || '|' || coalesce(d.source, '')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u,
-                     row_number() OVER (PARTITION BY d.source ORDER BY size, coalesce(doc_id, 0) % 256, doc_id) AS rank
+                     row_number() OVER (PARTITION BY d.source ORDER BY size, salt, doc_id) AS rank
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN least(floor(rank * rate + u) - floor((rank - 1) * rate + u), ceil(rate)) ELSE 0 END AS BIGINT) * size AS taken FROM r""",
     "op4_jaccard_join": r"""
