@@ -1,12 +1,15 @@
 """Personal data by rules and boosted candidates, in DataFrame functions and Spark ML alone.
 
 Base spans come from four strict patterns with checks (octets, card check digit, numbers of digits). Loose patterns with
-high recall propose further spans of the same kinds, with other separators and spelled-out marks. Gradient-boosted trees
-score each proposal from its format and context; they are fitted to the proposals of all texts, summed up by their
-feature values. A proposal is right if it overlaps a base span of its kind or holds up by itself (`plausible`): it
-passes the checks of its kind and is marked by its spelling or a cue of its kind before it. The threshold
-of each kind is the lowest at which, in a fifth of the texts kept from fitting, at least `PRECISION` of the proposals that
-overlap no base span of their kind are right; a kind without one adds nothing. Such proposals over it are added.
+high recall propose further spans of the same kinds, with other separators and spelled-out marks. Gradient-boosted trees,
+those of its kind, score each proposal from its format and context. Nobody has labelled loose forms, but strict spans are known to be
+right, so they are the labels: each one of all texts is rewritten in the loose forms of its kind, where it stands
+(right), and broken in ways that a careless pattern would take (wrong): a digit that fails the check, an octet too large,
+a number without a prefix or a cue before it. Proposals whose numbers can't be of their kind are wrong, too. The trees are
+fitted to these examples, summed up by their feature values, but for one right and one wrong form of each kind and a
+fifth of the refuted proposals, which set the thresholds: half-way below the lowest score of each kind from which on at
+least `PRECISION` of what was kept out is right. A kind without strict spans, or without such a score, adds nothing. Proposals
+from there on that overlap no base span of their kind are added.
 
 Offsets count code points, ends are exclusive. Null and empty texts have no spans. A null doc_id is kept. Rows that
 repeat give equal results; other columns are kept by `redact` and ignored by `find`; an empty table gives an empty
@@ -15,6 +18,7 @@ result."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -51,7 +55,10 @@ CUE = {
 PRECISION = 0.95
 TREES, DEPTH = 10, 3
 SPAN = "array<struct<s:int,e:int,t:string,w:string,a:string>>"
-FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "digits", "letters", "marks", "check", "octets", "at", "bracket", "plus", "before", "after", "cue"]
+FEATURES = ["digits", "letters", "marks", "check", "octets", "at", "bracket", "plus", "zeros", "tld", "before", "after", "cue", "near"]
+#: A word that announces a kind and stands right before it, and contexts of rewritten numbers.
+BESIDE = r"[\p{L}]*[.:]?\s?$"
+CUED, FAR = "tel ", "contact list entry "
 
 
 #: Signs set around matches, and what stands for them in a text that holds them: no pattern matches any of them.
@@ -116,15 +123,49 @@ def valid(kind: str, t: Column) -> Column:
     return F.lit(True)
 
 
-def plausible() -> Column:
-    """Whether a proposal's features speak for it without a strict match."""
-    c = {k: F.col(k) for k in FEATURES}
-    cue, free = c["cue"] == 1, ~c["before"].isin(2, 3) & ~c["after"].isin(2, 3)
-    email = (c["bracket"] == 1) | cue
-    card = c["digits"].between(13, 19) & (c["check"] == 1) & cue & free
-    phone = c["digits"].between(8, 15) & (cue | (c["plus"] == 1)) & free
-    ip = (c["octets"] == 1) & cue & free
-    return F.when(F.col("kind") == "email", email).when(F.col("kind") == "card", card).when(F.col("kind") == "phone", phone).otherwise(ip)
+def grouped(d: Column, mark: str) -> Column:
+    return F.regexp_replace(d, r"([0-9]{4})(?=[0-9])", f"$1{mark}")
+
+
+def rewritten(kind: str, x: Column) -> Column:
+    """Examples (t, w, a, right, held) from a strict span: in loose forms, the last of them held out of fitting, and
+    broken, likewise."""
+    t, w, d = x["t"], x["w"], digits(x["t"])
+    as_is = lambda form: (form, w)
+    if kind == "email":
+        local, domain = F.substring_index(t, "@", 1), F.substring_index(t, "@", -1)
+        form = lambda at, dot, y=domain: F.concat(local, F.lit(at), F.regexp_replace(y, r"\.", dot))
+        cut = F.regexp_replace(domain, r"[A-Za-z0-9-]+$", "12")
+        right = [as_is(form(" at ", " dot ")), as_is(form("(at)", "(dot)")), as_is(form(" [at] ", " [dot] ")), as_is(form(" (at) ", " [dot] "))]
+        wrong = [as_is(form(" at ", " dot ", cut)), as_is(form("@", " . ", cut))]
+    elif kind == "ip":
+        form = lambda mark, y=t: F.regexp_replace(y, r"\.", mark)
+        high = F.regexp_replace(t, "^[0-9]+", "731")
+        right = [as_is(form(",")), as_is(form("[.]")), as_is(form("(.)")), as_is(form(" . "))]
+        wrong = [as_is(form(",", high)), as_is(form(" . ", high))]
+    elif kind == "card":
+        # Another last digit fails the check.
+        bad = F.concat(F.left(d, F.length(d) - 1), ((F.right(d, F.lit(1)).cast("int") + 1) % 10).cast("string"))
+        right = [as_is(grouped(d, ".")), as_is(grouped(d, "/")), as_is(grouped(d, "  ")), as_is(grouped(d, "_"))]
+        wrong = [as_is(grouped(bad, ".")), as_is(grouped(bad, "_"))]
+    else:
+        far = F.when(w.rlike(CUE[kind]), F.lit("x ")).otherwise(w)
+        parts = F.regexp_replace(d, r"([0-9]{3})(?=[0-9]{2})", "$1 ")
+        right = [as_is(F.concat(F.lit("00"), parts)), (parts, F.lit(CUED)), (grouped(d, " "), F.lit(CUED)), (d, F.lit(CUED)), (F.concat(F.lit("+"), F.regexp_replace(parts, " ", "/")), w), as_is(F.concat(F.lit("00"), F.regexp_replace(parts, " ", "-")))]
+        wrong = [(parts, far), (d, far), (grouped(d, " "), far), (grouped(d, " "), F.lit(FAR)), (parts, F.lit(FAR))]
+    if kind != "phone":  # in a context without any cue, too
+        right, wrong = ([both for c, v in forms for both in ((c, v), (c, F.lit("x ")))] for forms in (right, wrong))
+        last = 2
+    else:
+        last = 1
+    made = [(*c, r, n >= len(forms) - last) for forms, r in ((right, True), (wrong, False)) for n, c in enumerate(forms)]
+    return F.array(*(F.struct(c.alias("t"), v.alias("w"), x["a"].alias("a"), F.lit(r).alias("right"), F.lit(h).alias("held")) for c, v, r, h in made))
+
+
+def refuted() -> Column:
+    """Whether a proposal's numbers can't be of its kind."""
+    card, ip, phone = (F.col("check") == 0) | (F.col("zeros") == 1) | (F.col("plus") == 1), F.col("octets") == 0, ~F.col("digits").between(8, 15)
+    return F.when(F.col("kind") == "card", card).when(F.col("kind") == "ip", ip).when(F.col("kind") == "phone", phone).otherwise(False)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -133,30 +174,39 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(needs), F.filter(spans(text, STRICT[kind]), lambda x: valid(kind, x["t"]))).otherwise(none)
 
 
+def features(kind: str, x: Column) -> list[Column]:
+    """The features of a span by its text and surroundings."""
+    kind_of = lambda c: F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike("^[0-9]"), 2).when(c.rlike(r"^\p{L}"), 3).otherwise(4)
+    d = digits(x["t"])
+    return [
+        F.least(F.length(d), F.lit(20)).alias("digits"),
+        F.least(F.length(F.regexp_replace(x["t"], r"[^\p{L}]", "")), F.lit(8)).alias("letters"),
+        F.least(F.length(F.regexp_replace(x["t"], r"[\p{L}0-9]", "")), F.lit(8)).alias("marks"),
+        (F.length(d).between(13, 19) & F.call_function("luhn_check", d)).cast("int").alias("check"),
+        octets(x["t"]).cast("int").alias("octets"),
+        x["t"].contains("@").cast("int").alias("at"),
+        x["t"].rlike(r"[(\[]").cast("int").alias("bracket"),
+        x["t"].startswith("+").cast("int").alias("plus"),
+        x["t"].rlike(r"^\(?00").cast("int").alias("zeros"),
+        x["t"].rlike(r"[^A-Za-z][A-Za-z]{2,8}$").cast("int").alias("tld"),
+        kind_of(F.right(x["w"], F.lit(1))).alias("before"),
+        kind_of(x["a"]).alias("after"),
+        x["w"].rlike(CUE[kind]).cast("int").alias("cue"),
+        x["w"].rlike(CUE[kind] + BESIDE).cast("int").alias("near"),
+    ]
+
+
 def proposals(text: Column, kind: str) -> Column:
     """Loose matches with their features."""
     none = F.expr(f"cast(array() as {SPAN})")
-    kind_of = lambda c: F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike("^[0-9]"), 2).when(c.rlike(r"^\p{L}"), 3).otherwise(4)
+    described = lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), *features(kind, x))
+    return F.transform(F.when(text.rlike(NEEDS[kind]), spans(text, LOOSE[kind])).otherwise(none), described)
 
-    def described(x: Column) -> Column:
-        d = digits(x["t"])
-        is_kind = [F.lit(int(k == kind)).alias(f"is_{k}") for k in KINDS]
-        return F.struct(
-            F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), *is_kind,
-            F.least(F.length(d), F.lit(20)).alias("digits"),
-            F.least(F.length(F.regexp_replace(x["t"], r"[^\p{L}]", "")), F.lit(8)).alias("letters"),
-            F.least(F.length(F.regexp_replace(x["t"], r"[\p{L}0-9]", "")), F.lit(8)).alias("marks"),
-            (F.length(d).between(13, 19) & F.call_function("luhn_check", d)).cast("int").alias("check"),
-            octets(x["t"]).cast("int").alias("octets"),
-            x["t"].contains("@").cast("int").alias("at"),
-            x["t"].rlike(r"[(\[]").cast("int").alias("bracket"),
-            x["t"].startswith("+").cast("int").alias("plus"),
-            kind_of(F.right(x["w"], F.lit(1))).alias("before"),
-            kind_of(x["a"]).alias("after"),
-            x["w"].rlike(CUE[kind]).cast("int").alias("cue"),
-        )
 
-    return F.transform(F.when(text.rlike(NEEDS[kind]), spans(text, LOOSE[kind])).otherwise(none), described)
+def examples(strict: Column, kind: str) -> Column:
+    """What strict spans of a kind teach: examples with their features."""
+    described = lambda x: F.struct(F.lit(kind).alias("kind"), x["right"].alias("right"), x["held"].alias("kept_out"), *features(kind, x))
+    return F.flatten(F.transform(strict, lambda x: F.transform(rewritten(kind, x), described)))
 
 
 def _scored(rows: DataFrame, model) -> DataFrame:
@@ -164,24 +214,30 @@ def _scored(rows: DataFrame, model) -> DataFrame:
     return model.transform(made).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def fitted(found: DataFrame):
-    """(model, thresholds by kind), or None when all proposals are of one class. The table is summed up by feature
-    values before fitting; its size is bounded by their number of combinations, not by the texts."""
-    summed = materialise(found.groupBy("kind", "right", "over", "kept_out", *FEATURES).agg(F.count("*").cast("double").alias("w")), "features")
-    train = summed.where(~F.col("kept_out")).withColumn("label", F.col("right").cast("double"))
-    if train.select("label").distinct().count() < 2:
-        return None
-    train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train).select("features", "label", "w").coalesce(1)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, weightCol="w", seed=1, maxBins=32).fit(train)
-    levels = _scored(summed.where("kept_out AND NOT over"), model).groupBy("kind", F.round("p", 3).alias("p")).agg(F.sum("w").alias("n"), F.sum(F.when(F.col("right"), F.col("w")).otherwise(0.0)).alias("r"))
-    thresholds: dict[str, float] = {}
-    held: dict[str, tuple[float, float]] = {}
-    for row in levels.orderBy("kind", F.desc("p")).collect():  # 1,001 levels for each kind at most
-        n, r = held.get(row.kind, (0.0, 0.0))
-        held[row.kind] = n, r = n + row.n, r + row.r
-        if r >= PRECISION * n:
-            thresholds[row.kind] = row.p
-    return model, thresholds
+def fitted(taught: DataFrame) -> dict[str, tuple]:
+    """(model, threshold) by kind from examples (kind, right, kept_out, features), for kinds that have right and wrong ones
+    and a threshold. The table is summed up by feature values before fitting; its size is bounded by their number of
+    combinations, not by the texts."""
+    summed = materialise(taught.groupBy("kind", "right", "kept_out", *FEATURES).agg(F.count("*").cast("double").alias("w")), "features")
+    classes = summed.where(~F.col("kept_out")).groupBy("kind").agg(F.countDistinct("right").alias("n")).where("n = 2")
+    out: dict[str, tuple] = {}
+    for kind in sorted(r.kind for r in classes.collect()):  # four at most
+        own = summed.where(F.col("kind") == kind)
+        # In one order, whatever the layout of the texts.
+        train = own.where(~F.col("kept_out")).withColumn("label", F.col("right").cast("double")).coalesce(1).sortWithinPartitions(*FEATURES, "label")
+        train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train).select("features", "label", "w")
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, weightCol="w", seed=1, maxBins=32).fit(train)
+        levels = _scored(own.where("kept_out"), model).groupBy(F.round("p", 3).alias("p")).agg(F.sum("w").alias("n"), F.sum(F.when(F.col("right"), F.col("w")).otherwise(0.0)).alias("r"))
+        rows = levels.orderBy(F.desc("p")).collect()  # 1,001 levels at most
+        n, r, low = 0.0, 0.0, None
+        for at, row in enumerate(rows):
+            n, r = n + row.n, r + row.r
+            if r > 0 and r >= PRECISION * n:
+                low = at
+        if low is not None:  # half-way to what is too low
+            below = rows[low + 1].p if low + 1 < len(rows) else 1 - rows[low].p
+            out[kind] = model, min(rows[low].p, (rows[low].p + below) / 2)
+    return out
 
 
 def overlapping(found: DataFrame, bases: DataFrame) -> DataFrame:
@@ -195,26 +251,25 @@ def overlapping(found: DataFrame, bases: DataFrame) -> DataFrame:
 
 def _detected(docs: DataFrame) -> DataFrame:
     """What `detect` returns, with a number `rid` for each row."""
-    names = [c for c in docs.columns if c not in ("base", "added", "found", "rid", "proposed")]
+    names = [c for c in docs.columns if c not in ("base", "added", "found", "rid", "proposed", "strict", "taught")]
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    rows = docs.select(*names).withColumn("base", F.struct(*(bare(base_spans(text, k)).alias(k) for k in KINDS)))
-    rows = rows.withColumn("proposed", F.concat(*(proposals(text, k) for k in KINDS))).withColumn("rid", F.monotonically_increasing_id())
+    both = lambda k: let(base_spans(text, k), lambda x: F.struct(bare(x).alias("base"), examples(x, k).alias("taught")))
+    rows = docs.select(*names).withColumn("strict", F.struct(*(both(k).alias(k) for k in KINDS)))
+    rows = rows.withColumn("base", F.struct(*(F.col("strict")[k]["base"].alias(k) for k in KINDS))).withColumn("taught", F.concat(*(F.col("strict")[k]["taught"] for k in KINDS)))
+    rows = rows.withColumn("proposed", F.concat(*(proposals(text, k) for k in KINDS))).withColumn("rid", F.monotonically_increasing_id()).drop("strict")
     rows = materialise(rows, "spans")
     found = rows.where(F.size("proposed") > 0).select("rid", F.explode("proposed").alias("x")).select("rid", "x.*")
     bases = rows.select("rid", F.explode(F.concat(*map(named, KINDS))).alias("x")).select("rid", "x.*")
-    found = overlapping(found, bases)
-    found = found.withColumn("right", F.col("over") | plausible()).withColumn("kept_out", F.pmod(F.xxhash64("rid"), F.lit(5)) == 0)
-    fit = fitted(found)
+    found = materialise(overlapping(found, bases).where(~F.col("over")).drop("over"), "proposed")
+    wrong = found.where(refuted()).withColumns({"right": F.lit(False), "kept_out": F.pmod(F.xxhash64("s", "e", *FEATURES), F.lit(5)) == 0})
+    names_of = ["kind", "right", "kept_out", *FEATURES]
+    fit = fitted(rows.select(F.explode("taught").alias("x")).select("x.*").select(*names_of).union(wrong.select(*names_of)))
     none = "cast(array() as array<struct<kind:string,s:int,e:int>>)"
-    if fit is None or not fit[1]:
+    if not fit:
         rows = rows.withColumn("added", F.expr(none))
     else:
-        model, thresholds = fit
-        least = F.lit(None).cast("double")
-        for k, p in thresholds.items():
-            least = F.when(F.col("kind") == k, F.lit(p)).otherwise(least)
-        new = _scored(found.where(~F.col("over")), model).where(F.round("p", 3) >= least)
+        new = reduce(DataFrame.union, (_scored(found.where(F.col("kind") == k), model).where(F.col("p") >= least).select("rid", "kind", "s", "e") for k, (model, least) in fit.items()))
         new = new.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("added"))
         rows = rows.join(new, "rid", "left").withColumn("added", F.coalesce("added", F.expr(none)))
     every = []

@@ -500,6 +500,43 @@ def test_spelled_out_mails_and_cued_numbers_are_added(spark):
             assert r.spans == (span or ""), (rows[r.doc_id], r.spans)
 
 
+CARDS = ["4111111111111111", "5500005555555559", "4012888888881881", "6011000990139424"]
+
+
+def test_loose_forms_without_cue_words_are_added_and_plain_numbers_are_not(spark):
+    """The trees learn from strict spans alone, which stand in other words here; one form of each kind is never seen."""
+    dotted = lambda d, m: m.join(d[k : k + 4] for k in range(0, 16, 4))
+    strict = ["write anna{0}@site.org please", "reached at 10.2.{0}.7 again", "paid {1} then", "number +49 30 {0} 4567 here"]
+    loose = {
+        "email": ("saw ben{0} at site dot org there", "ben{0} at site dot org"),
+        "email2": ("saw ben{0} (at) site [dot] org there", "ben{0} (at) site [dot] org"),
+        "ip": ("saw 10,2,{0},7 there", "10,2,{0},7"),
+        "ip2": ("saw 10 . 2 . {0} . 7 there", "10 . 2 . {0} . 7"),
+        "card": ("saw {2} there", "{2}"),
+        "card2": ("saw {3} there", "{3}"),
+        "phone": ("saw 0049 30 {0} 4567 there", "0049 30 {0} 4567"),
+    }
+    plain_ = ["contact list entry 2023 1105 0{0} ref", "saw 999,2,{0},7 there", "saw {4} there", "order 555 {0} 4567 shipped", "meet at noon then"]
+    rows, want = [], {}
+    for i in range(100):
+        c = CARDS[i % 4]
+        fill = (100 + i, c, dotted(c, "."), dotted(c, "_"), dotted(c[:-1] + str((int(c[-1]) + 1) % 10), "."))
+        for t in strict:
+            rows.append((len(rows), t.format(*fill)))
+        for kind, (t, x) in loose.items():
+            text, x = t.format(*fill), x.format(*fill)
+            want[len(rows)] = f"{kind.strip('2')}:{text.index(x)}:{text.index(x) + len(x)}"
+            rows.append((len(rows), text))
+        for t in plain_:
+            want[len(rows)] = ""
+            rows.append((len(rows), t.format(*fill)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert [(rows[d][1], out[d], x) for d, x in want.items() if out[d] != x] == []
+    # The same, however the rows lie.
+    assert {r.doc_id: r.spans for r in pii.find(df.orderBy(F.desc("doc_id")).repartition(7)).collect()} == out
+
+
 def test_many_spans_in_one_text(spark):
     """Twenty thousand spans of two kinds: found, and replaced, in a pass over the text."""
     df = spark.createDataFrame([(1, "é a@b.cd, 10.2.3.4 " * 10_000)], "doc_id long, text string")
