@@ -45,6 +45,10 @@ class Thresholds:
     min_samples: int = 2
     candidates: int = 3
     representatives: int = 2
+    #: Group photos are shown in the common album, also if their people have albums; else only those nobody of whom has.
+    group_photo_to_common: bool = True
+    #: A photo of an album is listed as uncertain, too, if a main face of it has none.
+    unmatched_main_to_uncertain: bool = True
 
     def __post_init__(self) -> None:
         for f in fields(self):

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,14 +27,42 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read back, which cuts its lineage; it goes when the driver ends. Sizes
-    are known then, and none of the plan behind it is kept."""
+#: Working tables made since each open `working` began, the outermost first.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+@contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Working tables settled inside go at its end, but for those that outlive it: they go with the one around it, if
+    there is one, or else with the driver."""
+    made: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), made))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for uri in made:
+            _path_of(spark, uri)[1].delete(_path_of(spark, uri)[0], True)
+
+
+def _path_of(spark: SparkSession, uri: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def settled(df: DataFrame, outlive: bool = False) -> DataFrame:
+    """The table, written to the shared folder and read back, which cuts its lineage. Sizes are known then, and none of
+    the plan behind it is kept. It goes when the driver ends, or with the `working` that it was made in; one that
+    outlives that goes with the next around it."""
     spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(path.toString())
-    return spark.read.schema(df.schema).parquet(path.toString())
+    uri = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    path, fs = _path_of(spark, uri)
+    scopes = _OPEN.get()[: -1 if outlive else None]
+    if scopes:
+        scopes[-1].append(uri)
+    fs.deleteOnExit(path)
+    df.write.parquet(uri)
+    return spark.read.schema(df.schema).parquet(uri)
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("event_id",), node: str = "row_ix") -> DataFrame:

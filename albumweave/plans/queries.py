@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from albumweave.functions.vectors import iou, mean_vector
-from albumweave.operators import clusters, density, feedback, folds, messages, pairs, recluster, rejudge, routing, screens
-from albumweave.operators.graph import canonical_pairs, greedy_matching, similar_components
+from albumweave.operators import clusters, density, feedback, folds, jobs, messages, pairs, recluster, rejudge, routing, screens, second
+from albumweave.operators.graph import canonical_pairs, greedy_matching, settled, similar_components, working
 from albumweave.plans import fixtures as fx
 from albumweave.plans.fixtures import prelude
 
@@ -292,14 +292,14 @@ def split_to_constraints(spark, sf_dir):
     return feedback.split_links(faces)
 
 
-@query("faces", """WITH mv AS (SELECT event_id, photo_id, label, (label + 1) % 10 AS target, face_id FROM faces WHERE row_ix % 60 = 7),
+@query("faces", """WITH mv AS (SELECT event_id, photo_id, label, (label + 1) % 10 AS target, face_id FROM faces WHERE row_ix // 5 % 12 = 7),
     f AS (SELECT *, row_number() OVER (PARTITION BY event_id, label ORDER BY row_ix) AS rk FROM faces),
     r AS (SELECT mv.event_id, mv.face_id AS a, o.face_id AS b, row_number() OVER (PARTITION BY mv.event_id, mv.label, mv.photo_id, mv.face_id ORDER BY o.row_ix) AS rk FROM (SELECT m2.* EXCLUDE (face_id), x.face_id FROM mv m2 JOIN faces x USING (event_id, photo_id, label)) mv JOIN faces o ON o.event_id = mv.event_id AND o.label = mv.label AND o.photo_id <> mv.photo_id)
     SELECT x.event_id, 'must' AS kind, x.face_id AS a, f.face_id AS b FROM (SELECT m2.* EXCLUDE (face_id), x.face_id FROM mv m2 JOIN faces x USING (event_id, photo_id, label)) x JOIN f ON f.event_id = x.event_id AND f.label = x.target AND f.rk = 1 WHERE x.face_id <> f.face_id
     UNION ALL SELECT event_id, 'cannot', a, b FROM r WHERE rk = 1""")
 def reassign_to_constraints(spark, sf_dir):
     faces = albums(fx.faces(spark, sf_dir))
-    moves = faces.where("row_ix % 60 = 7").select("event_id", "photo_id", "cluster", ((F.col("label") + 1) % 10).cast("string").alias("target"))
+    moves = faces.where("row_ix div 5 % 12 = 7").select("event_id", "photo_id", "cluster", ((F.col("label") + 1) % 10).cast("string").alias("target"))
     return feedback.reassign_links(faces, moves)
 
 
@@ -521,6 +521,50 @@ def recluster_full(spark, sf_dir):
     return found.faces.select("event_id", "row_ix", "face_id", "status", "cluster_id", "is_new", r6("similarity"))
 
 
+@query()
+def cluster_tree(spark, sf_dir):
+    """The condensed trees of all events, with what leaf selection takes of them."""
+    out = density.cluster_tree(fx.face_base(spark, sf_dir), method="leaf")
+    return out.select("event_id", "cluster", "parent", r6("birth"), "size", "chosen")
+
+
+@query()
+def density_leaf_members(spark, sf_dir):
+    """Members of the innermost clusters, with the probability of each."""
+    out = density.density_clusters(fx.face_base(spark, sf_dir), method="leaf", epsilon=0.0)
+    return out.select("event_id", "row_ix", "cluster", r6("probability"))
+
+
+def _compare(a: dict, b: dict) -> float:
+    """A comparer that goes by the people and rows in the sources' names."""
+    (la, ra), (lb, rb) = (map(int, x["source_key"].split("-")) for x in (a, b))
+    return float(86 + (ra + rb) % 14 if la == lb else (ra * 3 + rb) % 60)
+
+
+def _labelled(face: dict) -> dict[str, float]:
+    return {"Doll": 99.0} if int(face["source_key"].split("-")[1]) % 29 == 0 else {"Person": 99.0}
+
+
+@query()
+def two_pass_refinement(spark, sf_dir):
+    """A first pass over faces, re-uploads and hard faces, judgements within the budgets of each event, a second pass."""
+    everyone = fx.faces(spark, sf_dir).union(fx.hard_faces(spark, sf_dir)).withColumnRenamed("prev_cluster_id", "cluster_id")
+    box = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("face_width").alias("w"), F.col("face_width").alias("h"))
+    key = F.concat_ws("-", F.col("label").cast("string"), F.col("row_ix").cast("string"))
+    with working(spark):
+        faces = settled(everyone.withColumns({"bbox": box, "source_key": key}).drop("label"))
+        links = spark.createDataFrame([], "event_id string, kind string, seq long, a string, b string")
+        nonhuman = spark.createDataFrame([], "event_id string, face_id string")
+        found = jobs.clustered(faces, links, nonhuman)
+        none = (spark.createDataFrame([], k) for k in (second.SCORES, second.VERDICTS))
+        judges = second.Judges(_compare, _labelled, lambda face: 0)
+        out = second.refined(faces, links, nonhuman, found, *none, judges, jobs.clustered)
+        gone = out.nonhuman.withColumn("human", F.lit(False))
+        rows = faces.select("event_id", "face_id").join(out.found.faces.drop("row_ix"), ["event_id", "face_id"], "left").join(gone, ["event_id", "face_id"], "left")
+        rows = rows.join(out.links.where("kind = 'attach'").select("event_id", F.col("a").alias("face_id"), F.col("b").alias("attached_to")), ["event_id", "face_id"], "left")
+        return settled(rows.select("event_id", "face_id", "status", "cluster_id", F.coalesce("human", F.lit(True)).alias("human"), "attached_to"), outlive=True)
+
+
 _PREV = "m AS (SELECT *, prev_cluster_id || '#' || (row_ix % 2) AS cl FROM faces WHERE prev_cluster_id IS NOT NULL)"
 
 

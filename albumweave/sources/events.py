@@ -40,10 +40,12 @@ def read(spark: SparkSession, path: str, schema: T.StructType = FACES, event_id:
     df = spark.read.schema(schema).parquet(path)
     if event_id is not None:
         df = df.where(F.col("event_id") == event_id)
-    for name, value in DEFAULTS.items():
-        if name in df.columns and value is not None:
-            df = df.withColumn(name, F.coalesce(name, F.lit(value)))
-    return df.select(*schema.fieldNames())
+    return completed(df).select(*schema.fieldNames())
+
+
+def completed(df: DataFrame) -> DataFrame:
+    """Columns that older files lack, at their defaults."""
+    return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items() if c in df.columns and v is not None})
 
 
 def overwrite(df: DataFrame, path: str) -> None:

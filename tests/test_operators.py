@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,21 +137,18 @@ def test_spanning_tree_is_least(spark):
     import random
 
     random.seed(8)
-    n = 40
-    d = {(i, j): round(random.random(), 3) for i in range(n) for j in range(i + 1, n)}
-    edges = spark.createDataFrame([("e", i, j, x) for (i, j), x in d.items()], "event_id string, a long, b long, d double")
-    forests = density.spanning_tree(edges).toPandas()
-    assert len(forests) < 2 * n * density.BLOCKS
-    got = set(density.least_forest(forests)[["a", "b"]].itertuples(index=False, name=None))
-    root, want = list(range(n)), set()
+    df = spark.createDataFrame([("e", i, f"f{i}", [random.gauss(0, 1) for _ in range(3)]) for i in range(40)], "event_id string, row_ix long, face_id string, v array<double>")
+    df = df.withColumn("v", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))))
+    d = {(r.a, r.b): r.d for r in density.reachability_edges(df).collect()}
+    assert len(d) == 40 * 39 // 2
+    root, want = list(range(40)), set()
     for (i, j), _ in sorted(d.items(), key=lambda x: (x[1], x[0])):
-        while root[i] != root[root[i]]:
-            root[i] = root[root[i]]
         a, b = root[i], root[j]
         if a != b:
             want.add((i, j))
             root = [a if r == b else r for r in root]
-    assert got == want
+    for block in (1024, 7):
+        assert {(r.a, r.b) for r in density.spanning_tree(df, block=block).collect()} == want
 
 
 def test_density_clusters(spark):
@@ -161,11 +159,128 @@ def test_density_clusters(spark):
     assert all(got["e", k * 10 + i] == k * 10 for k in range(3) for i in range(5)) and got["e", 99] is None and got["one", 0] is None
 
 
+def of_points(points, edges, size, epsilon, method="stability"):
+    """{point: first point of its cluster} and {point: probability} of the operator's own steps."""
+    edges = sorted(edges)
+    at = {p: k for k, p in enumerate(sorted(points))}
+    a, b = (np.array([at[e[k]] for e in edges], np.int64) for k in (1, 2))
+    tree = density.condensed(len(points), a, b, np.array([e[0] for e in edges]), size)
+    own, sure = density.members(tree, density.chosen(tree, epsilon, method))
+    return {p: min(q for q in points if own[at[q]] == own[at[p]]) for p in points if own[at[p]] >= 0}, {p: sure[at[p]] for p in points}
+
+
+def plain_clusters(points, edges, size, epsilon, method):
+    """The same by walks over sets of points: parts of the tree, without any edge longer than a distance."""
+    node = {}
+    groups = {p: (frozenset([p]), None) for p in points}
+    for d, a, b in sorted(edges):
+        x, y = groups[a], groups[b]
+        z = (x[0] | y[0], (d, x, y))
+        for p in z[0]:
+            groups[p] = z
+    top = groups[points[0]]
+    rows = []  # parent, child (a cluster's number or a point), density, size
+    clusters = {0: None}
+
+    def fall(part, c, lam):
+        rows.extend((c, ("p", p), lam, 1) for p in part[0])
+
+    todo = [(top, 0)]
+    while todo:
+        part, c = todo.pop(0)
+        if part[1] is None:
+            continue
+        d, x, y = part[1]
+        lam = 1 / max(d, 1e-12)
+        large = [len(z[0]) >= size for z in (x, y)]
+        for z, ok in zip((x, y), large, strict=True):
+            if all(large):
+                k = len(clusters)
+                clusters[k] = c
+                node[k] = d
+                rows.append((c, ("c", k), lam, len(z[0])))
+                todo.append((z, k))
+            elif ok:
+                todo.append((z, c))
+            else:
+                fall(z, c, lam)
+    born = {0: 0.0} | {k: 1 / max(d, 1e-12) for k, d in node.items()}
+    stable = {c: sum((lam - born[c]) * n for p, _, lam, n in rows if p == c) for c in clusters}
+    kids = {c: [k for k, p in clusters.items() if p == c] for c in clusters}
+    under = lambda c: [c] + [y for k in kids[c] for y in under(k)]
+    if method == "leaf":
+        picked = {c for c in clusters if c and not kids[c]}
+    else:
+        picked, best = set(), {}
+        for c in sorted(clusters, reverse=True):
+            inner = sum(best[k] for k in kids[c])
+            best[c] = max(inner, stable[c])
+            if c and inner <= stable[c]:
+                picked = (picked - set(under(c))) | {c}
+    final = set()
+    for c in picked:
+        while node[c] < epsilon and clusters[c] != 0:
+            c = clusters[c]
+        final.add(c)
+    final = {c for c in final if not any(c != o and c in under(o) for o in final)}
+    label, sure = {}, {}
+    for c, child, lam, _ in rows:
+        if child[0] == "p":
+            sure[child[1]] = 0.0
+            o = c
+            while o and o not in final:
+                o = clusters[o]
+            if o:
+                label[child[1]] = o
+                death = max(x[2] for x in rows if x[0] == o)
+                sure[child[1]] = min(lam, death) / death
+    return {p: min(q for q in label if label[q] == c) for p, c in label.items()}, sure
+
+
 def test_stable_clusters_merge_below_epsilon():
     edges = [(0.01, 0, 1), (0.012, 2, 3), (0.05, 1, 2), (0.02, 10, 11), (0.9, 3, 10)]
     points = [0, 1, 2, 3, 10, 11]
-    assert density.stable_clusters(points, edges, 2, 0.15) == {0: 0, 1: 0, 2: 0, 3: 0, 10: 10, 11: 10}
-    assert set(density.stable_clusters(points, edges, 2, 0.0).values()) == {0, 2, 10}
+    assert of_points(points, edges, 2, 0.15)[0] == {0: 0, 1: 0, 2: 0, 3: 0, 10: 10, 11: 10}
+    assert set(of_points(points, edges, 2, 0.0)[0].values()) == {0, 2, 10}
+
+
+@pytest.mark.parametrize("method", ["stability", "leaf"])
+def test_clusters_and_probabilities_equal_walks(method):
+    rng = np.random.default_rng(12)
+    for trial in range(60):
+        n = int(rng.integers(2, 40))
+        edges = [(float(rng.choice([0.0, 0.05, 0.1, 0.2, 0.3]) if trial % 3 == 0 else rng.random()), int(rng.integers(0, i)), i) for i in range(1, n)]
+        for size in (2, 3):
+            got, want = (f(list(range(n)), edges, size, 0.15, method) for f in (of_points, plain_clusters))
+            assert got[0] == want[0] and all(abs(got[1][p] - want[1][p]) < 1e-9 for p in range(n))
+
+
+@pytest.mark.parametrize("method", ["stability", "leaf"])
+def test_five_thousand_nested_clusters(method):
+    """Pairs joined one after the other, ever further away: each joint is a cluster in the next."""
+    pairs_ = 5000
+    a = np.concatenate([np.arange(0, 2 * pairs_, 2), np.arange(0, 2 * pairs_ - 2, 2)])
+    b = np.concatenate([np.arange(1, 2 * pairs_, 2), np.arange(2, 2 * pairs_, 2)])
+    d = np.concatenate([np.full(pairs_, 0.001), 0.2 + np.arange(pairs_ - 1) * 1e-4])
+    tree = density.condensed(2 * pairs_, a, b, d, 2)
+    own, sure = density.members(tree, density.chosen(tree, 0.15, method))
+    assert len(tree.parent) == 2 * pairs_ - 1 and len(set(own.tolist())) == pairs_ and sure.min() == 1.0
+
+
+def test_a_hundred_thousand_faces_of_one_event(spark):
+    """The step after the spanning tree, as Spark runs it."""
+    n = 100_000
+    tree = spark.range(1, n).select(F.lit("e").alias("event_id"), F.col("id").alias("b"), (F.col("id") - F.when(F.col("id") % 10 == 0, 10).otherwise(1)).alias("a"), F.when(F.col("id") % 10 == 0, 0.9).otherwise(0.05).alias("d"))
+    original = density.spanning_tree
+    density.spanning_tree = lambda faces, k, block: tree
+    try:
+        faces_ = spark.range(n).select(F.lit("e").alias("event_id"), F.col("id").alias("row_ix"))
+        out = density.density_clusters(faces_)
+        assert out.where("cluster <> row_ix - row_ix % 10 OR cluster IS NULL OR probability < 1").isEmpty() and out.count() == n
+        shape = density.cluster_tree(faces_).agg(F.count("*").alias("n"), F.count_if("chosen").alias("chosen"), F.count("parent").alias("p")).first()
+        assert shape.chosen == n // 10 and shape.p == shape.n - 1
+    finally:
+        density.spanning_tree = original
 
 
 def test_later_wins(spark):
