@@ -87,7 +87,7 @@ def similar_components(faces: DataFrame, least: float) -> DataFrame:
     """(event_id, row_ix, root): components of an event's faces over pairs of cosine >= least. The stars of an event
     of one block are its components already; others are joined over their cells."""
     found = settled(stars(faces, least))
-    nodes = faces.select("event_id", "row_ix")
+    nodes = faces.select("event_id", "row_ix").distinct()
     large = blocks_of(faces.select("event_id", "row_ix")).where("blocks > 1").select("event_id").distinct()
     if large.isEmpty():
         rows = nodes.join(found.withColumnRenamed("a", "row_ix"), ["event_id", "row_ix"], "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from albumweave.functions import vectors as V
 from albumweave.operators import clusters, density, feedback, folds, messages, pairs, rejudge, routing
 from albumweave.operators.config import Thresholds
-from albumweave.operators.graph import canonical_pairs, components, greedy_matching
+from albumweave.operators.graph import canonical_pairs, components, greedy_matching, similar_components
 
 
 def unit(*angles):
@@ -309,3 +309,22 @@ def test_best_boxes_equal_a_walk(spark):
         if not any((min(b[3], k), max(b[3], k)) in rivals for k in kept):
             kept.append(b[3])
     assert {r.row_ix for r in folds.best_boxes(df, pairs_).collect()} == set(kept)
+
+
+def test_faces_of_one_row_number_are_no_pair(spark):
+    """Ids from 100,000 on give re-uploads the row numbers of other faces."""
+    df = faces(spark, unit(0, 1, 2, 40, 41)).withColumn("row_ix", F.when(F.col("row_ix") == 3, 2).otherwise(F.col("row_ix")).cast("long"))
+    for block in (1024, 2):
+        got = {(r.a, r.b) for r in pairs.event_pairs(df, -2.0, block=block).collect()}
+        assert len(got) == 9 and ("f2", "f3") not in got and ("f3", "f2") not in got
+    assert {(r.row_ix, r.root) for r in similar_components(df, 0.99).collect()} == {(0, 0), (1, 0), (2, 0), (4, 0)}
+    assert similar_components(df, 0.99).count() == 4
+    core = {r.face_id: r.core for r in clusters.core_distances(faces(spark, unit(0, 1, 40)).withColumn("row_ix", (F.col("row_ix") / 2).cast("long")), 2).collect()}
+    assert abs(core["f1"] - (1 - math.cos(math.radians(39)))) < 1e-12
+
+
+def test_faces_of_one_row_number_tie_their_neighbours(spark):
+    df = faces(spark, unit(0, 40, 80, 41, 1)).withColumn("row_ix", F.expr("CASE row_ix WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE row_ix END"))
+    assert {(r.row_ix, r.root) for r in similar_components(df, 0.99).collect()} == {(0, 0), (1, 1), (2, 1), (3, 0)}
+    rows = faces(spark, unit(0, 50, 90, 51, 1, 91)).withColumn("row_ix", F.expr("CASE row_ix WHEN 5 THEN 4 ELSE row_ix END"))
+    assert {(r.row_ix, r.root) for r in similar_components(rows, 0.99).collect()} == {(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)}
