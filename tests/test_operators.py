@@ -328,3 +328,34 @@ def test_faces_of_one_row_number_tie_their_neighbours(spark):
     assert {(r.row_ix, r.root) for r in similar_components(df, 0.99).collect()} == {(0, 0), (1, 1), (2, 1), (3, 0)}
     rows = faces(spark, unit(0, 50, 90, 51, 1, 91)).withColumn("row_ix", F.expr("CASE row_ix WHEN 5 THEN 4 ELSE row_ix END"))
     assert {(r.row_ix, r.root) for r in similar_components(rows, 0.99).collect()} == {(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)}
+
+
+def test_equal_row_numbers_are_put_in_order_by_faces(spark):
+    """Whatever order the rows come in, one answer."""
+    rows = faces(spark, unit(0, 1, 2, 3), photos=["p"] * 4).withColumn("row_ix", F.lit(7).cast("long")).withColumn("cluster", F.lit("c")).withColumn("grp", F.lit(0))
+    into = spark.createDataFrame([("e", "c", 0)], "event_id string, cluster string, target int")
+    chain = [("f0", "f1"), ("f1", "f2"), ("f2", "f3")]
+    for df in (rows.coalesce(1).sortWithinPartitions(F.desc("face_id")), rows.coalesce(1).sortWithinPartitions("face_id")):
+        assert sorted((r.a, r.b) for r in feedback.merge_chain(df, into).collect()) == chain
+        assert sorted((r.a, r.b) for r in feedback.split_links(df).collect()) == chain
+        added = feedback.appended(df.limit(0), df)
+        assert {r.face_id: r.row_ix for r in added.collect()} == {f"f{i}": i for i in range(4)}
+        assert [r.face_id for r in routing.headcount_eligible(df, df.limit(0), df.limit(0)).collect()] == ["f0"]
+
+
+def test_a_face_of_the_same_row_number_is_no_friend(spark):
+    df = faces(spark, unit(0, 1, 90)).withColumn("row_ix", F.when(F.col("row_ix") < 2, 1).otherwise(2).cast("long"))
+    assert {r.face_id for r in routing.headcount_eligible(df, df, df.limit(0)).collect()} == set()
+
+
+def test_rows_are_stored_by_their_number(spark, tmp_path):
+    """Vectors from number 200,000 on are no stored rows, as in the SQL; no two numbers collide here."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    ids = [5 * i for i in range(30)] + [200_001 + 5 * i for i in range(30)]
+    spark.createDataFrame([(i, [0.1] * 64, i % 10) for i in ids], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = entry.queries()["idempotent_append"](spark, str(tmp_path)).collect()
+    want = duckdb.sql(entry.oracle_sql()["idempotent_append"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
