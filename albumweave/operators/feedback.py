@@ -53,10 +53,10 @@ def living_pairs(pairs: DataFrame, faces: DataFrame) -> DataFrame:
 
 def appended(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored rows and those of photos not stored yet, numbered after each event's last row."""
-    order = "row_ix" if "row_ix" in new.columns else "face_id"
+    order = [c for c in ("row_ix", "face_id") if c in new.columns]
     fresh = new.join(stored.select("event_id", "photo_id").distinct(), ["event_id", "photo_id"], "left_anti")
     last = stored.groupBy("event_id").agg(F.max("row_ix").alias("last"))
-    fresh = fresh.join(last, "event_id", "left").withColumn("row_ix", F.coalesce(F.col("last") + 1, F.lit(0)) + F.row_number().over(Window.partitionBy("event_id").orderBy(order)) - 1)
+    fresh = fresh.join(last, "event_id", "left").withColumn("row_ix", F.coalesce(F.col("last") + 1, F.lit(0)) + F.row_number().over(Window.partitionBy("event_id").orderBy(*order)) - 1)
     return stored.unionByName(fresh.drop("last"), allowMissingColumns=True)
 
 
