@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def merge_chain(members: DataFrame, merged: DataFrame) -> DataFrame:
     """Must-links for merges (event_id, cluster, target): neighbours, by row, of all faces that become one cluster."""
     rows = members.join(merged, ["event_id", "cluster"])
-    after = F.lead("face_id").over(Window.partitionBy("event_id", "target").orderBy("row_ix"))
+    after = F.lead("face_id").over(Window.partitionBy("event_id", "target").orderBy("row_ix", "face_id"))
     return rows.withColumn("b", after).where("b IS NOT NULL").select("event_id", F.lit("must").alias("kind"), F.col("face_id").alias("a"), "b")
 
 
