@@ -16,7 +16,7 @@ def merge_chain(members: DataFrame, merged: DataFrame) -> DataFrame:
 def split_links(groups: DataFrame) -> DataFrame:
     """For splits (event_id, cluster, grp, row_ix, face_id): a must chain in each group, cannot-links between the
     groups' first faces."""
-    w = Window.partitionBy("event_id", "cluster", "grp").orderBy("row_ix")
+    w = Window.partitionBy("event_id", "cluster", "grp").orderBy("row_ix", "face_id")
     must = groups.withColumn("b", F.lead("face_id").over(w)).where("b IS NOT NULL").select("event_id", F.lit("must").alias("kind"), F.col("face_id").alias("a"), "b")
     return must.union(distinct_links(groups.withColumn("one", F.row_number().over(w)).where("one = 1").select("event_id", F.col("cluster").alias("within"), "row_ix", "face_id")))
 
