@@ -37,3 +37,8 @@ def test_wanted_scores_are_those_of_the_whole_table(spark):
 def test_album_pairs_look_up_four_scores_each(spark, read):
     out = entry.queries()["pair_unanimity"](spark, DIR)
     assert 0 < read[0].count() <= 4 * out.count()
+
+
+def test_linkage_looks_up_no_more_than_album_pairs(spark, read):
+    entry.queries()["pair_complete_linkage"](spark, DIR).count()
+    assert read[0].count() <= 4 * entry.queries()["pair_unanimity"](spark, DIR).count()
