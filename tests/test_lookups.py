@@ -44,7 +44,7 @@ def test_linkage_looks_up_no_more_than_album_pairs(spark, read):
     assert read[0].count() <= 4 * entry.queries()["pair_unanimity"](spark, DIR).count()
 
 
-@pytest.mark.parametrize("name", ["argmax_assignment", "photo_album_argmax_guard"])
+@pytest.mark.parametrize("name", ["argmax_assignment", "photo_album_argmax_guard", "fragment_hints"])
 def test_faces_look_up_a_score_for_each_candidate(spark, read, name):
     entry.queries()[name](spark, DIR)
     assert 0 < read[0].count() <= 3 * fx.faces(spark, DIR).count()
