@@ -48,3 +48,27 @@ def test_linkage_looks_up_no_more_than_album_pairs(spark, read):
 def test_faces_look_up_a_score_for_each_candidate(spark, read, name):
     entry.queries()[name](spark, DIR)
     assert 0 < read[0].count() <= 3 * fx.faces(spark, DIR).count()
+
+
+def test_budget_asks_no_more_sources_than_it_needs(spark, read):
+    """Sources of one event go by their names: the first eight, then as many again as are needed."""
+    from pyspark.sql import functions as F
+
+    from albumweave.operators import screens
+
+    rows = spark.range(400).select(F.lit("e").alias("event_id"), F.format_string("s%03d", F.col("id")).alias("source_face_id"), F.lit("r").alias("rep_face_id"), "id")
+    rows = rows.union(rows.select(F.lit("tiny"), "source_face_id", "rep_face_id", "id").where("id < 2"))
+    asked = []
+
+    def wanted(some):
+        asked.append(some.count())
+        return rows.join(some, ["event_id", "source_face_id"], "left_semi")
+
+    cached = lambda some: rows.where("id % 2 = 0").join(some, ["event_id", "source_face_id"], "left_semi")
+    order = ["source_face_id", "rep_face_id"]
+    got = screens.first_within_budget(rows.select("event_id", "source_face_id"), wanted, cached, 5, order)
+    want = screens.within_budget(rows, rows.where("id % 2 = 0"), 5, order)
+    assert got.select("event_id", "source_face_id", "call").exceptAll(want.select("event_id", "source_face_id", "call")).isEmpty() and got.count() == want.count() == 6
+    assert asked == [10, 64]
+    entry.queries()["call_budget"](spark, DIR)
+    assert all(t.select("event_id", "source_face_id").distinct().count() <= 40 for t in read)
