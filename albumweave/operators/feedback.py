@@ -34,9 +34,13 @@ def reassign_links(members: DataFrame, moves: DataFrame) -> DataFrame:
     face = members.join(moves, ["event_id", "photo_id", "cluster"]).select("event_id", "cluster", "target", F.col("face_id").alias("a"), F.col("photo_id").alias("moved"))
     to = first.where("one = 1").select("event_id", F.col("cluster").alias("target"), F.col("face_id").alias("b"))
     must = face.join(to, ["event_id", "target"]).select("event_id", F.lit("must").alias("kind"), "a", "b")
-    rest = face.join(members.select("event_id", "cluster", "photo_id", "row_ix", F.col("face_id").alias("b")), ["event_id", "cluster"]).where("photo_id <> moved")
-    one = F.row_number().over(Window.partitionBy("event_id", "cluster", "moved", "a").orderBy("row_ix"))
-    cannot = rest.withColumn("one", one).where("one = 1").select("event_id", F.lit("cannot").alias("kind"), "a", "b")
+    # The first face on another photo is the cluster's first, or else the first that is not on that one's photo.
+    known, least = members.where("photo_id IS NOT NULL"), F.min(F.struct("row_ix", "face_id", "photo_id"))
+    one = known.groupBy("event_id", "cluster").agg(least.alias("one"))
+    two = known.join(one, ["event_id", "cluster"]).where("photo_id <> one.photo_id").groupBy("event_id", "cluster").agg(least.alias("two"))
+    rest = face.select("event_id", "cluster", "moved", "a").distinct().join(one, ["event_id", "cluster"]).join(two, ["event_id", "cluster"], "left")
+    b = F.when(F.col("one.photo_id") != F.col("moved"), F.col("one.face_id")).otherwise(F.col("two.face_id"))
+    cannot = rest.withColumn("b", b).where("b IS NOT NULL").select("event_id", F.lit("cannot").alias("kind"), "a", "b")
     return must.union(cannot).where("a <> b")
 
 

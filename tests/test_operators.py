@@ -359,3 +359,14 @@ def test_rows_are_stored_by_their_number(spark, tmp_path):
     got = entry.queries()["idempotent_append"](spark, str(tmp_path)).collect()
     want = duckdb.sql(entry.oracle_sql()["idempotent_append"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_reassigned_faces_meet_one_face_of_their_cluster(spark):
+    rows = [("e", i, f"f{i}", f"p{i // 3}", "a" if i < 9 else "b") for i in range(12)] + [("lone", 0, "x", "p", "a")]
+    df = spark.createDataFrame(rows, "event_id string, row_ix long, face_id string, photo_id string, cluster string")
+    moves = spark.createDataFrame([("e", "p0", "a", "b"), ("e", "p2", "a", "b"), ("e", "p2", "a", "b"), ("lone", "p", "a", "b")], "event_id string, photo_id string, cluster string, target string")
+    out = feedback.reassign_links(df, moves)
+    assert sorted((r.a, r.b) for r in out.where("kind = 'cannot'").collect()) == [(f"f{i}", "f3") for i in range(3)] + [(f"f{i}", "f0") for i in range(6, 9)]
+    assert {(r.a, r.b) for r in out.where("kind = 'must'").collect()} == {(f"f{i}", "f9") for i in (0, 1, 2, 6, 7, 8)}
+    # No face is put beside all of its cluster, to be ranked.
+    assert not any("Window" in line and "moved" in line for line in out._jdf.queryExecution().toString().splitlines())
