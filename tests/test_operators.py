@@ -370,3 +370,19 @@ def test_reassigned_faces_meet_one_face_of_their_cluster(spark):
     assert {(r.a, r.b) for r in out.where("kind = 'must'").collect()} == {(f"f{i}", "f9") for i in (0, 1, 2, 6, 7, 8)}
     # No face is put beside all of its cluster, to be ranked.
     assert not any("Window" in line and "moved" in line for line in out._jdf.queryExecution().toString().splitlines())
+
+
+def test_caches_are_merged_in_two_shuffles(spark):
+    rows = [("e", f"f{i}", f"f{j}", float(i)) for i in range(6) for j in range(i + 1, 6)]
+    old = spark.createDataFrame(rows, "event_id string, source_face_id string, rep_face_id string, similarity double")
+    new = old.where("source_face_id = 'f1'").withColumn("similarity", F.lit(0.5)).union(spark.createDataFrame([("e", "f5", "f0", 9.0)], old.schema))
+    alive = spark.createDataFrame([("e", f"f{i}") for i in (0, 1, 2, 5)], "event_id string, face_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = rejudge.merged_scores(old, new, alive)
+        got = {(r.source_face_id, r.rep_face_id): r.similarity for r in out.collect()}
+        plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {("f0", "f1"): 0.0, ("f0", "f2"): 0.0, ("f0", "f5"): 0.0, ("f1", "f2"): 0.5, ("f1", "f5"): 0.5, ("f2", "f5"): 2.0, ("f5", "f0"): 9.0}
+    assert "FullOuter" not in plan
