@@ -203,15 +203,35 @@ def opened(at: DataFrame) -> DataFrame:
     return at.join(nodes, "node")
 
 
-def met_heads(at: DataFrame) -> DataFrame:
-    """Pairs of a large node's sets outside of its largest component and its heads, of other components."""
+def met_heads(at: DataFrame, own: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of a large node's sets outside of its largest component and its heads, of other components, whose sizes
+    and tokens leave a link open. A row of a set carries the heads of its node, at most `HEADS` + `NEXT`, into its task,
+    which compares them there: `own` are (rid, n, tokens)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads, row = batch.column(4).flatten(), np.repeat(np.arange(batch.num_rows), batch.column(4).value_lengths().to_numpy())
+            rid, comp, n = (batch.column(k).to_numpy() for k in range(3))
+            heads = heads.flatten()
+            h, of, m = (heads[k].to_numpy() for k in range(3))
+            t, u = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, POSITIONS) for x in (batch.column(3), heads[3]))
+            at = np.flatnonzero((comp[row] != of) & (link[1] * np.maximum(n[row], m) <= link[0] * np.minimum(n[row], m)))
+            at = at[near(t[row[at]], u[at])]
+            yield pa.record_batch([pa.array(np.minimum(rid[row[at]], h[at])), pa.array(np.maximum(rid[row[at]], h[at]))], schema=schema)
+
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), "comp"))
     parts = parts_of(at).withColumns({"size": F.sum("m").over(Window.partitionBy("node")), "place": place})
     parts = parts.where((F.col("size") > SMALL) & (F.col("place") <= NEXT + 1))
     heads = F.transform(F.when(F.col("place") == 1, F.col("heads")).otherwise(F.slice("heads", 1, 1)), lambda h: F.struct(h.alias("rid"), F.col("comp").alias("comp")))
     nodes = parts.groupBy("node").agg(F.flatten(F.collect_list(heads)).alias("heads"), F.min_by("comp", "place").alias("largest"), F.count("*").alias("comps")).where("comps > 1")
-    met = at.join(nodes, "node").where("comp <> largest").select("rid", "comp", F.explode("heads").alias("head")).where("comp <> head.comp")
-    return met.select(F.least("rid", "head.rid").alias("a"), F.greatest("rid", "head.rid").alias("b")).distinct()
+    # A few heads of each large node, with their tokens.
+    whole = nodes.select("node", "largest", F.explode("heads").alias("head")).select("node", "largest", F.col("head.rid").alias("rid"), F.col("head.comp").alias("comp")).join(own, "rid")
+    whole = whole.groupBy("node").agg(F.collect_list(F.struct("rid", "comp", "n", "tokens")).alias("heads"))
+    met = at.join(nodes.select("node", "largest"), "node").where("comp <> largest").join(own, "rid").join(whole, "node")
+    return met.select("rid", "comp", "n", "tokens", "heads").mapInArrow(run, "a long, b long").distinct()
 
 
 def in_cells(cells: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]], schema: str) -> DataFrame:
@@ -405,10 +425,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, link: tuple[int, int]
 
     for turn in (1, 2):
         if turn == 1:
-            pairs = members.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
+            pairs = not_ruled_out(members.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct(), own, link)
         else:
-            pairs = met_heads(in_components(members.select("node", "rid"), root)).join(done, ["a", "b"], "left_anti")
-        pairs = materialise(not_ruled_out(pairs, own, link), f"pairs{turn}")
+            pairs = met_heads(in_components(members.select("node", "rid"), root), own, link).join(done, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, f"pairs{turn}")
         known = asked(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct())
         judged = materialise(verified(pairs, known, link), f"verified{turn}")
         done = judged.select("a", "b")

@@ -108,3 +108,20 @@ def test_reckoned_recall():
         picks = n + rng.binomial(n, 1 / 0.85 - 1)
         n = rng.binomial(picks, 0.85)
     assert abs((n > 0).mean() - stay) < 0.005
+
+
+def test_heads_are_met_in_tasks(spark):
+    """Only pairs that tokens and sizes leave open come out of a large node's task."""
+    rng = random.Random(4)
+    base = [bytes(rng.randrange(256) for _ in range(chosen_path.POSITIONS)) for _ in range(3)]
+    own = [(i, 100 if i % 7 else 300, base[i % 3]) for i in range(400)]
+    at = [(1, i, i if i >= 100 else 0) for i in range(400)] + [(2, i, i) for i in range(9)]
+    of = {rid: comp for node, rid, comp in at if node == 1}
+    own_, at_ = spark.createDataFrame(own, "rid long, n long, tokens binary"), spark.createDataFrame(at, "node long, rid long, comp long")
+    out = chosen_path.met_heads(at_, own_, (100, 85))
+    got = {(r.a, r.b) for r in out.collect()}
+    heads = {x.rid: x.comp for x in at_.where("node = 1").collect() if x.comp in range(100, 100 + chosen_path.NEXT)}
+    slots = chosen_path.parts_of(at_.where("node = 1 AND comp = 0")).first().heads
+    heads |= dict.fromkeys(slots, 0)
+    want = {(min(a, h), max(a, h)) for a in range(100, 400) for h, c in heads.items() if of[a] != c and own[a][1] == own[h][1] and a % 3 == h % 3}
+    assert got == want and want
