@@ -375,7 +375,8 @@ def open_cells(at: DataFrame, roots: int, link: tuple[int, int], shards: int) ->
         out.append(materialise(suspects(cells_of(at, dense, tasks), link), "suspects"))
         if not held.sparse:
             break
-        at = branched(at.where(sparse), roots, link)
+        # Written, as the nodes are counted first and then joined with their members.
+        at = materialise(branched(at.where(sparse), roots, link), "children")
     return out
 
 

@@ -125,3 +125,26 @@ def test_heads_are_met_in_tasks(spark):
     heads |= dict.fromkeys(slots, 0)
     want = {(min(a, h), max(a, h)) for a in range(100, 400) for h, c in heads.items() if of[a] != c and own[a][1] == own[h][1] and a % 3 == h % 3}
     assert got == want and want
+
+
+def test_nodes_branch_once(spark, monkeypatch):
+    """A member of a large node is put into its children once, not again for each use of them."""
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    made, frames, original = spark.sparkContext.accumulator(0), [], chosen_path.branched
+
+    def branched(*args):
+        frames.append(original(*args))
+
+        def counted(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return frames[-1].mapInArrow(counted, frames[-1].schema)
+
+    monkeypatch.setattr(chosen_path, "branched", branched)
+    rng = random.Random(6)
+    passage = sentence(rng, 60)
+    docs = [(i, f"{passage} {sentence(rng, 30)}") for i in range(80)]
+    assert found(spark.createDataFrame(docs, "doc_id long, text string")) == component_of(docs)
+    assert made.value == sum(f.count() for f in frames) > 0
