@@ -151,6 +151,46 @@ def test_spanning_tree_is_least(spark):
         assert {(r.a, r.b) for r in density.spanning_tree(df, block=block).collect()} == want
 
 
+@pytest.mark.parametrize("digits", [1, 9])
+def test_forest_across_blocks_is_that_of_the_whole_matrix(digits):
+    """Many equal distances, and few; pairs that are no edges, and a side of one row."""
+    rng = np.random.default_rng(digits)
+    for left, right in ((30, 50), (1, 9), (70, 3)):
+        place = rng.permutation(left + right)
+        left, right = np.sort(place[:left]), np.sort(place[left:])
+        r = np.round(rng.random((len(left), len(right))), digits)
+        r[rng.random(r.shape) < 0.2] = np.inf
+        full = np.full((len(place), len(place)), np.inf)
+        full[np.ix_(left, right)], full[np.ix_(right, left)] = r, r.T
+        assert sorted(zip(*density.across(r, left, right), strict=True)) == sorted(zip(*density.dense_tree(full), strict=True))
+
+
+def test_forests_join_in_bounded_memory():
+    """Edges are arrays, but for a few at a time: 16 forests of 20,000 faces take less than 80 bytes an edge."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    a = np.tile(np.arange(1, 20_000), 16)
+    b, d = (rng.random(len(a)) * a).astype(np.int64), rng.random(len(a))
+    want = density.least_forest(b, a, d)
+    edges, root = sorted(zip(d, b, a, range(len(a)), strict=True)), list(range(20_000))
+    kept = []
+    for _, x, y, k in edges:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[y] = x
+            kept.append(k)
+    assert want.tolist() == kept and len(kept) == 19_999
+    tracemalloc.start()
+    density.least_forest(b, a, d)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 * len(a)
+
+
 def test_density_clusters(spark):
     rows = [("e", k * 10 + i, v) for k, angle in enumerate((0, 60, 140)) for i, v in enumerate(unit(*(angle + 3 * i + 0.1 * i * i for i in range(5))))]
     rows += [("e", 99, [math.cos(4.2), math.sin(4.2)]), ("one", 0, [1.0, 0.0])]
