@@ -46,8 +46,10 @@ COARSE, FINE = (4, 10), (6, 6)
 WIDTH = 6
 #: Trees that a point knows itself to be in, so that a pair is named by the first one of them that it shares.
 KNOWN = 16
-#: Bytes of count vectors that one task compares.
-TASK_BYTES = 16 << 20
+#: Bytes of rows that one task compares at once, and those of a row besides its count vector.
+TASK_BYTES, ROW_BYTES = 8 << 20, 512
+#: Parts of a shard's leading shingles that are sorted one after the other.
+PARTS = 8
 #: Members of a tree that one task compares; larger trees are cut into blocks that meet in pairs.
 BLOCK = 2048
 #: Points that others are compared with in the second round: of the largest component of a tree, and of how many more.
@@ -149,20 +151,21 @@ class Points:
         self.level = np.array([doublings(x, scale) for x in n], np.int64)
         self.at: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        data = column.to_pylist()
         for lv in range(int(self.level.max(initial=0)), -1, -1):
             rows = np.flatnonzero(self.level >= lv)
             groups = GROUPS << lv
             at = np.full(len(n), -1, np.int64)
             at[rows] = np.arange(len(rows))
-            counts = np.empty((len(rows), groups), np.int32)
-            own = np.flatnonzero(self.level == lv)
-            for r in own.tolist():
-                counts[at[r]] = np.frombuffer(data[r], np.uint8 if len(data[r]) == groups else "<u4")
+            own = {r: column[r].as_buffer() for r in np.flatnonzero(self.level == lv).tolist()}
             more = np.flatnonzero(self.level > lv)
-            if len(more):
-                finer = self.counts[-1][self.at[-1][more]]
-                counts[at[more]] = finer[:, :groups] + finer[:, groups:]
+            finer = self.counts[-1][self.at[-1][more]] if len(more) else np.empty((0, 2 * groups), np.uint8)
+            folded = np.add(finer[:, :groups], finer[:, groups:], dtype=np.uint16 if finer.dtype == np.uint8 else np.int32)
+            # Bytes where all counts fit: a quarter of the memory.
+            fit = folded.max(initial=0) < 256 and all(x.size == groups for x in own.values())
+            counts = np.empty((len(rows), groups), np.uint8 if fit else np.int32)
+            for r, x in own.items():
+                counts[at[r]] = np.frombuffer(x, np.uint8 if x.size == groups else "<u4")
+            counts[at[more]] = folded
             self.at.append(at)
             self.counts.append(counts)
         self.at.reverse()
@@ -184,7 +187,7 @@ class Points:
             for i in range(0, len(rows), step := (1 << 22) // (GROUPS << lv)):
                 r = rows[i : i + step]
                 x, y = a[r], b[r]
-                out[r] = (link[0] + link[1]) * np.minimum(counts[at[x]], counts[at[y]]).sum(1) >= link[1] * (self.n[x] + self.n[y])
+                out[r] = (link[0] + link[1]) * np.minimum(counts[at[x]], counts[at[y]]).sum(1, dtype=np.int64) >= link[1] * (self.n[x] + self.n[y])
         return out
 
 
@@ -214,6 +217,10 @@ def trees(rows: DataFrame, copies: HashArrays, shards: int) -> DataFrame:
     def meet(rows: pa.Table) -> pa.Table:
         h = np.concatenate([widen(x.as_py(), WIDTH) for x in rows.column("shingle")])
         rid = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in rows.column("rid")])
+        part = (h % np.uint64(PARTS)).astype(np.uint8)
+        return pa.concat_tables([met(h[at], rid[at]) for k in range(PARTS) if len(at := np.flatnonzero(part == k))])
+
+    def met(h: np.ndarray, rid: np.ndarray) -> pa.Table:
         order = np.argsort(h, kind="stable")
         h, rid = h[order], rid[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -253,7 +260,7 @@ class RTree:
         ok = (link[1] * low_n[j] <= link[0] * high_n[i]) & (link[1] * low_n[i] <= link[0] * high_n[j]) & (asked[i] | asked[j])
         ok &= (np.minimum(low_c[i], low_c[j]) != np.maximum(high_c[i], high_c[j]))
         at = np.flatnonzero(ok)
-        ok[at] = (link[0] + link[1]) * np.minimum(high[i[at]], high[j[at]]).sum(1) >= link[1] * (low_n[i[at]] + low_n[j[at]])
+        ok[at] = (link[0] + link[1]) * np.minimum(high[i[at]], high[j[at]]).sum(1, dtype=np.int64) >= link[1] * (low_n[i[at]] + low_n[j[at]])
         return ok
 
     def leaves(self, link: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -376,6 +383,14 @@ def shared_before(known: np.ndarray, a: np.ndarray, b: np.ndarray, tree: int) ->
     return out
 
 
+def task_count(members: DataFrame, least: int) -> int:
+    """Tasks that `all_pairs` deals the cells of a table (tree, rid, n) to, each of about `TASK_BYTES`: every row counts as
+    often as it is in a cell, with its ids and a vector of at most two coordinates for each shingle."""
+    size = F.lit(ROW_BYTES) + F.greatest(F.lit(GROUPS), F.least(2 * F.col("n"), F.lit(4 * GROUPS << FINE[0])))
+    held = in_cells(members.select("tree", "rid", "n")).agg(F.sum(size)).first()[0] or 0
+    return max(least, -(-held // TASK_BYTES))
+
+
 def all_pairs(members: DataFrame, fine: DataFrame, shards: int, link: tuple[int, int]) -> DataFrame:
     """Every pair (a, b) of points of different components that the trees leave, of a table (tree, rid, comp, n), by
     the vectors (rid, fine)."""
@@ -496,8 +511,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, link: tuple[int, int] = LINK)
         else:
             fine = shingle_sets.select("rid", "fine")
             at = materialise(at.select("tree", "rid", "comp", "n"), "open")
-            held = at.join(fine, "rid").agg(F.sum(F.length("fine"))).first()[0] or 0
-            pairs = all_pairs(at, fine, max(shards, -(-held // TASK_BYTES)), link)
+            pairs = all_pairs(at, fine, task_count(at, shards), link)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs, f"pairs{turn}")

@@ -10,6 +10,7 @@ import statistics
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,30 @@ def test_jaccard_of_trees_in_blocks(spark, monkeypatch):
     assert rows_of(out, "doc_id", "n_shingles", "component_id") == sorted(component_of(docs), key=repr)
 
 
+def test_counts_of_points_stay_bytes_where_they_fit():
+    """Four times as much memory as the vectors' own made a task of the last round too large."""
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (5, 63, 64, 200, 3000, 20_000)]
+    for scale in (jaccard.COARSE, jaccard.FINE):
+        made = [jaccard.vector(h, scale) for h in sets]
+        got = jaccard.Points(np.array([len(h) for h in sets]), pa.chunked_array([[v.tobytes() for v in made]]), scale)
+        for lv, (at, counts) in enumerate(zip(got.at, got.counts, strict=True)):
+            groups = jaccard.GROUPS << lv
+            for r, v in enumerate(made):
+                if len(v) >= groups:
+                    assert (counts[at[r]] == v.astype(np.int64).reshape(-1, groups).sum(0)).all()
+            assert counts.itemsize == (1 if counts.max() < 256 else 4)
+        assert got.counts[-1].itemsize == 1
+
+
+def test_tasks_of_the_last_round_count_rows_of_split_trees_in_every_cell(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("1L AS tree", "id AS rid", "100L AS n")
+    monkeypatch.setattr(jaccard, "BLOCK", 500)
+    size = jaccard.ROW_BYTES + 200
+    monkeypatch.setattr(jaccard, "TASK_BYTES", 4000 * size)
+    assert jaccard.task_count(rows, 1) == 8 and jaccard.task_count(rows, 50) == 50 and jaccard.task_count(rows.limit(0), 3) == 3
+
+
 def test_deduplication_keeps_one_row_of_each_group(documents):
     df, empty = documents
     out = jaccard.deduplicated(df)
