@@ -48,6 +48,8 @@ WIDTH = 6
 KNOWN = 16
 #: Bytes of rows that one task compares at once, and those of a row besides its count vector.
 TASK_BYTES, ROW_BYTES = 8 << 20, 512
+#: Texts whose sets are handed on at once.
+HANDED = 1024
 #: Parts of a shard's leading shingles that are sorted one after the other.
 PARTS = 8
 #: Members of a tree that one task compares; larger trees are cut into blocks that meet in pairs.
@@ -69,6 +71,14 @@ def _texts(column, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield s.first + k, h[cuts[k] : cuts[k + 1]]
 
 
+def handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made of them is small; a worker then gives back what Arrow held for it."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, HANDED):
+            yield batch.slice(i, HANDED)
+    pa.default_memory_pool().release_unused()
+
+
 def frequent_cells(docs: DataFrame, size: int) -> dict[int, int]:
     """{cell: level} of the cells that more shingles fall into than `FREQUENT` times the mean; all texts are counted."""
     counted = pa.schema([("chunk", pa.int32()), ("total", pa.int64()), ("n", pa.binary())])
@@ -116,7 +126,7 @@ def points(docs: DataFrame, size: int, link: tuple[int, int]) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("vector", pa.binary()), ("leading", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in handed(batches):
             rows = batch.num_rows
             n, sets, vectors, leading = [0] * rows, [None] * rows, [None] * rows, [None] * rows
             for k, h in _texts(batch.column(1), size):
@@ -456,9 +466,11 @@ def sets(docs: DataFrame, reps: DataFrame, size: int, shards: int) -> DataFrame:
         for batch in batches:
             k, inv = np.unique(_keys(batch.column(0)), return_inverse=True)
             text = batch.column(1).filter(pa.array(wanted.lookup(k)[0][inv]))
-            found = [h for _, h in _texts(text, size)]
-            made = ([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in found], [h.tobytes() for h in found], [vector(h, FINE).tobytes() for h in found])
-            yield pa.record_batch([pa.array(x, pa.binary()) for x in made], names=["set", "shingles", "fine"])
+            for i in range(0, len(text), HANDED):
+                found = [h for _, h in _texts(text[i : i + HANDED], size)]
+                made = ([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in found], [h.tobytes() for h in found], [vector(h, FINE).tobytes() for h in found])
+                yield pa.record_batch([pa.array(x, pa.binary()) for x in made], names=["set", "shingles", "fine"])
+        pa.default_memory_pool().release_unused()
 
     again = docs.select("doc_id", "text").mapInArrow(run, "set binary, shingles binary, fine binary")
     return materialise(again.join(reps.select("rid", "set"), "set").select("rid", "shingles", "fine").dropDuplicates(["rid"]), "sets")
@@ -468,7 +480,7 @@ def verified(pairs: DataFrame, shingle_sets: DataFrame, link: tuple[int, int]) -
     """The pairs with `linked`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in handed(batches):
             out = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")

@@ -128,6 +128,16 @@ def test_counts_of_points_stay_bytes_where_they_fit():
         assert got.counts[-1].itemsize == 1
 
 
+def test_sets_are_handed_on_in_small_batches(spark, monkeypatch):
+    """Batches of ten thousand texts' whole sets took a hundred megabytes on both sides of a worker."""
+    batch = pa.record_batch([pa.array(range(10))], names=["a"])
+    monkeypatch.setattr(jaccard, "HANDED", 4)
+    assert [b.column(0).to_pylist() for b in jaccard.handed(iter([batch, batch.slice(0, 0), batch.slice(8)]))] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9], [8, 9]]
+    docs = [(i, f"a{i % 3} b c d e f g h") for i in range(11)] + [(11, None), (12, "")]
+    out = jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == sorted(component_of(docs), key=repr)
+
+
 def test_tasks_of_the_last_round_count_rows_of_split_trees_in_every_cell(spark, monkeypatch):
     rows = spark.range(4000).selectExpr("1L AS tree", "id AS rid", "100L AS n")
     monkeypatch.setattr(jaccard, "BLOCK", 500)
