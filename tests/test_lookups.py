@@ -72,3 +72,22 @@ def test_budget_asks_no_more_sources_than_it_needs(spark, read):
     assert asked == [10, 64]
     entry.queries()["call_budget"](spark, DIR)
     assert all(t.select("event_id", "source_face_id").distinct().count() <= 40 for t in read)
+
+
+def test_cache_merge_hashes_the_faces_of_sources(spark):
+    """Sorting the pairs instead spilled them where they are many."""
+    from albumweave.operators import rejudge
+
+    kind = "event_id string, source_face_id string, rep_face_id string, similarity double"
+    old = spark.createDataFrame([("e", "a", "b", 1.0), ("e", "a", "c", 2.0), ("e", "c", "b", 3.0), ("e", "gone", "a", 4.0), ("e", "a", "gone", 5.0)], kind)
+    new = spark.createDataFrame([("e", "a", "b", 0.5), ("e", "b", "c", 6.0)], kind)
+    alive = spark.createDataFrame([("e", x) for x in "aabc"], "event_id string, face_id string")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = rejudge.merged_scores(old, new, alive)
+        assert "ShuffledHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.source_face_id, r.rep_face_id): r.similarity for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert got == {("a", "b"): 0.5, ("a", "c"): 2.0, ("c", "b"): 3.0, ("b", "c"): 6.0}
