@@ -91,3 +91,29 @@ def test_cache_merge_hashes_the_faces_of_sources(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
     assert got == {("a", "b"): 0.5, ("a", "c"): 2.0, ("c", "b"): 3.0, ("b", "c"): 6.0}
+
+
+def test_cached_pairs_are_merged_where_they_are_made(spark):
+    """Pairs are many more than faces: none is shuffled or sorted."""
+
+    def moved(node):
+        names = node.output().toString()
+        own = [node.nodeName()] if node.nodeName() in ("Exchange", "Sort") and "source_face_id" in names and "rep_face_id" in names else []
+        return own + [x for i in range(node.children().size()) for x in moved(node.children().apply(i))]
+
+    out = entry.queries()["score_cache_merge"](spark, DIR)
+    assert moved(out._jdf.queryExecution().executedPlan().initialPlan()) == []
+
+
+def test_merge_in_cells_is_the_merge_of_whole_tables(spark):
+    from pyspark.sql import functions as F
+
+    from albumweave.operators import rejudge
+
+    alive = fx.faces(spark, DIR).where("row_ix % 9 <> 0")
+    cells, whole = fx.scored_cells(alive, 4), fx.scored_pairs(spark, DIR)
+    assert cells.select(*fx.CELL).distinct().count() > alive.select("event_id", "label").distinct().count()
+    sides = lambda df: (df.where("similarity % 3 <> 0 AND similarity >= 60"), df.where("similarity >= 95").withColumn("similarity", F.col("similarity") + 0.5))
+    want = rejudge.merged_scores(*sides(whole), alive).select("event_id", "source_face_id", "rep_face_id", "similarity")
+    got = rejudge.merged_cells(*sides(cells), fx.CELL)
+    assert want.count() == got.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
