@@ -105,6 +105,12 @@ def test_cached_pairs_are_merged_where_they_are_made(spark):
     assert moved(out._jdf.queryExecution().executedPlan().initialPlan()) == []
 
 
+def test_cells_are_dealt_to_all_shards(spark):
+    """Few faces make many pairs: their shards are not put together for being small."""
+    out = entry.queries()["score_cache_merge"](spark, DIR)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_merge_in_cells_is_the_merge_of_whole_tables(spark):
     from pyspark.sql import functions as F
 
