@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -426,3 +427,21 @@ def test_caches_are_merged_in_two_shuffles(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {("f0", "f1"): 0.0, ("f0", "f2"): 0.0, ("f0", "f5"): 0.0, ("f1", "f2"): 0.5, ("f1", "f5"): 0.5, ("f2", "f5"): 2.0, ("f5", "f0"): 9.0}
     assert "FullOuter" not in plan
+
+
+def test_a_vector_is_stored_once_however_many_cells_it_is_in(spark, tmp_path, monkeypatch):
+    """Forty faces in blocks of four: files hold each face once, and no row is repeated for the cells; nor does it matter
+    whether cells are dealt one by one or in tiles."""
+    df = faces(spark, unit(*range(0, 360, 9)))
+    df = df.union(faces(spark, unit(*range(3)), event="d"))  # an event of one block
+    want = {(i, j, "e") for i in range(40) for j in range(i + 1, 40)} | {(0, 1, "d"), (0, 2, "d"), (1, 2, "d")}
+    for tiles in (pairs.TILES, 0):
+        shared = tmp_path / str(tiles)
+        monkeypatch.setattr("albumweave.operators.graph.shared_dir", lambda spark, shared=shared: f"file://{shared}")
+        monkeypatch.setattr(pairs, "TILES", tiles)
+        made = pairs.event_pairs(df, -2.0, block=4)
+        got = [(r.a_ix, r.b_ix, r.event_id) for r in made.collect()]
+        assert len(got) == len(want) and set(got) == want
+        files = [pa.ipc.open_stream(f.read_bytes()).read_all() for f in shared.glob("blocks-*/*") if not f.name.startswith(".")]
+        assert len(files) > 1 and sorted(x for f in files for x in f.column("row_ix").to_pylist()) == list(range(40))
+        assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
