@@ -445,3 +445,33 @@ def test_a_vector_is_stored_once_however_many_cells_it_is_in(spark, tmp_path, mo
         files = [pa.ipc.open_stream(f.read_bytes()).read_all() for f in shared.glob("blocks-*/*") if not f.name.startswith(".")]
         assert len(files) > 1 and sorted(x for f in files for x in f.column("row_ix").to_pylist()) == list(range(40))
         assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_heads_of_crowded_photos_equal_brute_force(spark):
+    """Twins by matrices and by rows, friends in the own block and beyond it, in events of many blocks and of one."""
+    rng = np.random.default_rng(3)
+    angles = np.concatenate([rng.choice([0, 40, 80, 120], 50) + rng.random(50), rng.random(10) * 360]).round(3).tolist()
+    df = faces(spark, unit(*angles), photos=[f"p{i % 3}" for i in range(60)]).union(faces(spark, unit(0, 1, 90), photos=["p", "p", None], event="d"))
+    rows = df.collect()
+    s = lambda a, b: a.v[0] * b.v[0] + a.v[1] * b.v[1]
+    mates = [(a, b) for a in rows for b in rows if a.event_id == b.event_id and a.row_ix != b.row_ix]
+    lonely = {(a.event_id, a.face_id) for a in rows} - {(a.event_id, a.face_id) for a, b in mates if s(a, b) >= 0.9999}
+    assert 5 < len(lonely) < 60
+    for block in (4, 1024):
+        assert {tuple(r) for r in routing.friendless(df, df, 0.9999, block).collect()} == lonely
+        some = df.where("row_ix % 2 = 0")
+        assert {tuple(r) for r in routing.friendless(df, some, 0.9999, block).collect()} == {x for x in lonely if int(x[1][1:]) % 2 == 0}
+    links = spark.createDataFrame([(a.event_id, a.row_ix, b.row_ix) for a, b in mates if a.photo_id == b.photo_id and a.photo_id and s(a, b) >= 0.9999], "event_id string, a long, b long")
+    of = lambda found: {tuple(r) for r in components(df.select("event_id", "row_ix"), found).collect()}
+    want = of(links)
+    for many, block in ((0, 4), (0, 1024), (10, 4), (1024, 4)):
+        assert of(routing.twins(df, 0.9999, many, block)) == want
+
+
+def test_faces_with_a_friend_in_their_block_meet_no_other(spark, monkeypatch):
+    met = []
+    across = routing.across_cells
+    monkeypatch.setattr(routing, "across_cells", lambda some, *a: met.append(sorted(r.row_ix for r in some.collect())) or across(some, *a))
+    df = faces(spark, unit(*([0.0] * 40), 90))
+    assert [r.face_id for r in routing.friendless(df, df, 0.5, 20).collect()] == ["f40"]
+    assert met == [[40]]
