@@ -475,3 +475,25 @@ def test_faces_with_a_friend_in_their_block_meet_no_other(spark, monkeypatch):
     df = faces(spark, unit(*([0.0] * 40), 90))
     assert [r.face_id for r in routing.friendless(df, df, 0.5, 20).collect()] == ["f40"]
     assert met == [[40]]
+
+
+def test_forests_of_a_tile_are_joined_before_they_are_written(spark, monkeypatch):
+    """Forty faces in ten blocks: the cells of three by three tiles hand on one forest for each tile."""
+    rng = np.random.default_rng(8)
+    df = faces(spark, unit(*(rng.random(40) * 360).tolist())).union(faces(spark, unit(0, 3, 90), event="d"))
+    tree = lambda block: {(r.event_id, r.a, r.b, round(r.d, 9)) for r in density.spanning_tree(df, block=block).collect()}
+    whole, written, settle = tree(1024), [], density.settled
+    monkeypatch.setattr(pairs, "TILES", 0, raising=False)
+    monkeypatch.setattr(density, "settled", lambda x: written.append(settle(x)) or written[-1])
+    assert tree(4) == whole and len(whole) == 41
+    assert written[0].count() <= 6 * 31 + 2 < 10 * 3 + 45 * 7
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_core_distances_of_many_blocks(spark, monkeypatch, k):
+    angles = (np.random.default_rng(k).random(30) * 360).tolist()
+    df, v = faces(spark, unit(*angles)), np.array(unit(*angles))
+    monkeypatch.setattr(clusters, "in_cells", lambda faces, run, schema: pairs.in_cells(faces, run, schema, block=4))
+    core = {r.face_id: r.core for r in clusters.core_distances(df, k).collect()}
+    want = np.sort(np.clip(1 - v @ v.T, 0, 2) + np.diag([-9.0] * 30), 1)[:, k - 1]
+    assert all(abs(core[f"f{i}"] - want[i]) < 1e-12 for i in range(30)) and len(core) == 30
